@@ -4,3 +4,10 @@
 blocks, ``plans`` the report queries and their SQL, ``streaming`` the incremental forms. The
 subpackage ``llm`` is optional: nothing else imports it.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python functions that run in tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
