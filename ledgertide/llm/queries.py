@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgertide.llm.mixing import Mix, mix
 from ledgertide.llm.nearest import nearest_in_time
+from ledgertide.llm.packing import packed
 from ledgertide.llm.percentiles import partial_counts, percentiles
 from ledgertide.operators.storage import small_or_shuffled
 from ledgertide.sources.tables import table
@@ -44,7 +46,25 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_in_time(table(spark, folder, "raw_fills"), table(spark, folder, "builder_logs"), "fill_key", "log_id")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_percentiles, p4_found)}
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences of 2,048 tokens from all documents."""
+    return packed(table(spark, folder, "documents"), "doc_id", "text", 2048)
+
+
+def _mixed(spark: SparkSession, folder: str) -> Mix:
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """A mix as large as the corpus: one row per use of a document."""
+    return _mixed(spark, folder).chosen
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder).shares
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_percentiles, p4_found, p6_packed, p7_mix, p7_shares)}
 
 _FILLS = """f AS (SELECT fill_key, any_value(coin) AS coin, CAST(any_value(fee) AS DOUBLE) AS fee, CAST(any_value(closed_pnl) AS DOUBLE) AS closed_pnl
       FROM raw_fills GROUP BY fill_key)"""
