@@ -9,6 +9,7 @@ from ledgertide.llm.mixing import Mix, mix
 from ledgertide.llm.nearest import nearest_in_time
 from ledgertide.llm.packing import packed
 from ledgertide.llm.percentiles import partial_counts, percentiles
+from ledgertide.llm.subjects import assign, fit
 from ledgertide.operators.storage import small_or_shuffled
 from ledgertide.sources.tables import table
 
@@ -64,7 +65,19 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder).shares
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_percentiles, p4_found, p6_packed, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return assign(documents, fit(documents, table(spark, folder, "subject_labels"), table(spark, folder, "subject_areas")))
+
+
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents each subject has, and their share of all documents."""
+    documents = table(spark, folder, "documents").agg(F.count(F.lit(1))).scalar()
+    counts = p8_found(spark, folder).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+    return counts.select("subject", "documents", (F.col("documents") / documents).alias("share"))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_percentiles, p4_found, p6_packed, p7_mix, p7_shares, p8_found, p8_composition)}
 
 _FILLS = """f AS (SELECT fill_key, any_value(coin) AS coin, CAST(any_value(fee) AS DOUBLE) AS fee, CAST(any_value(closed_pnl) AS DOUBLE) AS closed_pnl
       FROM raw_fills GROUP BY fill_key)"""
