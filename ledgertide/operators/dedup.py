@@ -14,7 +14,7 @@ def first_written(df: DataFrame, key: str, order: str) -> DataFrame:
     null key are one key, as in SQL's DISTINCT. All columns are kept, in their order.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.groupBy(F.col(key).alias("__key")).agg(F.min_by(whole, F.col(order)).alias("__row")).select("__row.*")
+    return df.groupBy(F.col(key).alias("__key")).agg(F.min_by(whole, F.struct(order)).alias("__row")).select("__row.*")
 
 
 def last_written(df: DataFrame, key: str, order: list[str]) -> DataFrame:

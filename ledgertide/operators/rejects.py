@@ -65,7 +65,7 @@ def parsed(df: DataFrame) -> DataFrame:
     df = df.select("record_id", "file_name", "record_no", "record")
     heads = df.where(F.col("record_no") == 1)
     names = F.transform(cells(F.col("record")), lambda c: F.lower(bare(unquoted(c))))
-    heads = heads.groupBy(F.col("file_name").alias("of_file")).agg(F.min_by("record", "record_id").alias("record")).select("of_file", names.alias("names"))
+    heads = heads.groupBy(F.col("file_name").alias("of_file")).agg(F.min_by("record", F.struct("record_id")).alias("record")).select("of_file", names.alias("names"))
     few = df.where(F.col("record_no") == 1).select("file_name").distinct().limit(MAX_BROADCAST_FILES + 1).count() <= MAX_BROADCAST_FILES
     rows = df.where(F.coalesce(F.col("record_no") != 1, F.lit(True))).withColumn("cells", cells(F.col("record")))
     rows = rows.join(F.broadcast(heads) if few else heads, F.col("file_name") == F.col("of_file"), "left")
