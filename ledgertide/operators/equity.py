@@ -39,9 +39,9 @@ def as_of(questions: DataFrame, snapshots: DataFrame) -> DataFrame:
     """
     asked = questions.select("user", "time_ms", F.lit(1).alias("asks"), F.lit(None).cast("long").alias("sid"), F.struct(*questions.columns).alias("q"), F.lit(None).cast(TOTAL).alias("e"))
     known = snapshots.select("user", "time_ms", F.lit(0).alias("asks"), F.col("id").alias("sid"), F.lit(None).cast(asked.schema["q"].dataType).alias("q"), F.col("equity").cast(TOTAL).alias("e"))
-    rows = with_slice(asked.unionByName(known), "time_ms")
+    rows = with_slice(asked.unionByName(known), ["user"], "time_ms")
     place = F.when(F.col("e").isNotNull(), F.struct("time_ms", "sid"))
-    rows = carried(rows, ["user"], {"last_e": F.max_by("e", place)}, {"earlier": F.last("last_e", ignorenulls=True)})
-    here = F.last("e", ignorenulls=True).over(upto_here(["user"], ["time_ms", "asks", "sid"]))
+    rows = carried(rows, {"last_e": F.max_by("e", place)}, {"earlier": F.last("last_e", ignorenulls=True)})
+    here = F.last("e", ignorenulls=True).over(upto_here("time_ms", "asks", "sid"))
     rows = rows.withColumn("equity", F.coalesce(here, "earlier")).where(F.col("asks") == 1)
     return rows.select("q.*", "equity")

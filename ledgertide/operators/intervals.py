@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgertide.operators.sliced import before_here, carried, upto_here, with_slice
+
 #: Width of the slices in which a long history is worked on. After equal starts are merged a slice of an
 #: hour holds at most 3.6 million rows of one entity, however many rows the entity has.
 SLAB_MS = 3_600_000
@@ -39,36 +41,18 @@ def periods_and_gaps(
         F.col(start).cast("long").alias("s"),
         F.coalesce(F.col(end).cast("long"), F.lit(open_end)).alias("e"),
     ).where(F.col("s").isNotNull() & (F.col("e") >= F.col("s")))
-    slab = F.floor(F.col("s") / F.lit(slab_ms)).alias("slab")
-    rows = source.groupBy("k", slab, "s").agg(F.max("e").alias("e"))
-
-    before = Window.partitionBy("k", "slab").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("k", "slab").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("k").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
-
-    tops = rows.groupBy("k", "slab").agg(F.max("e").alias("top"))
-    tops = tops.select("k", "slab", F.max("top").over(earlier).alias("carried_end"))
-    marked = (
-        _beside(rows.withColumn("within", F.max("e").over(before)), tops)
-        .withColumn("reached", F.greatest("within", "carried_end"))
-        .withColumn("opens", F.when(F.col("reached").isNull() | (F.col("s") > F.col("reached")), F.col("s")))
-    )
-    openings = marked.groupBy("k", "slab").agg(F.max("opens").alias("last"))
-    openings = openings.select("k", "slab", F.max("last").over(earlier).alias("carried_start"))
-    labelled = _beside(marked.withColumn("within", F.max("opens").over(upto)), openings).withColumn(
-        "period", F.coalesce("within", "carried_start")
-    )
-    periods = labelled.groupBy("k", "period").agg(F.max("e").alias("till"))
+    rows = with_slice(source, ["k"], "s", slab_ms).groupBy("__key", "__slice", "s").agg(F.max("e").alias("e"))
+
+    ends = carried(rows.withColumn("within", F.max("e").over(before_here("s"))), {"top": F.max("e")}, {"earlier": F.max("top")})
+    reached = F.greatest("within", "earlier")
+    marked = ends.select("__key", "__slice", "s", "e", reached.alias("reached"), F.when(reached.isNull() | (F.col("s") > reached), F.col("s")).alias("opens"))
+    labels = carried(marked.withColumn("within", F.max("opens").over(upto_here("s"))), {"last": F.max("opens")}, {"earlier": F.max("last")})
+    labelled = labels.withColumn("period", F.coalesce("within", "earlier"))
+    periods = labelled.groupBy("__key", "period").agg(F.max("e").alias("till"))
     gaps = marked.where(F.col("opens").isNotNull() & F.col("reached").isNotNull())
     return periods.select(
-        F.lit("period").alias("kind"), F.col("k").alias(entity), F.col("period").alias("start_ms"), F.col("till").alias("end_ms")
+        F.lit("period").alias("kind"), F.col("__key.k").alias(entity), F.col("period").alias("start_ms"), F.col("till").alias("end_ms")
     ).unionByName(
-        gaps.select(F.lit("gap").alias("kind"), F.col("k").alias(entity), F.col("reached").alias("start_ms"), F.col("s").alias("end_ms"))
+        gaps.select(F.lit("gap").alias("kind"), F.col("__key.k").alias(entity), F.col("reached").alias("start_ms"), F.col("s").alias("end_ms"))
     )
 
-
-def _beside(rows: DataFrame, slices: DataFrame) -> DataFrame:
-    """``rows`` with the one row of ``slices`` of the same entity (null included) and slice."""
-    right = slices.withColumnsRenamed({"k": "k2", "slab": "slab2"})
-    same = rows["k"].eqNullSafe(right["k2"]) & (rows["slab"] == right["slab2"])
-    return rows.join(right, same).drop("k2", "slab2")

@@ -13,8 +13,6 @@ from ledgertide.functions.keys import lifecycle_id, sign_of
 from ledgertide.operators.sliced import before_here, carried, upto_here, with_slice
 from ledgertide.schema import AVERAGE, FILL_ORDER, MONEY, NET, NOTIONAL
 
-KEYS = ["user", "coin"]
-
 
 def transitions(fills: DataFrame) -> DataFrame:
     """``fills`` with ``prev`` and ``net`` size, ``kind``, and the opening fills ``opener`` and ``closer``.
@@ -27,9 +25,9 @@ def transitions(fills: DataFrame) -> DataFrame:
     The running sum and the last opener are kept per slice of time and carried from slice to slice, so a
     busy wallet isn't one task. A null size counts as zero.
     """
-    rows = with_slice(fills.withColumn("signed", (F.coalesce("sz", F.lit(0)) * sign_of(F.col("side"))).cast("decimal(19,8)")), "time_ms")
-    rows = carried(rows, KEYS, {"moved": F.sum("signed")}, {"held": F.sum("moved")})
-    rows = rows.withColumn("net", (F.coalesce("held", F.lit(0)) + F.sum("signed").over(upto_here(KEYS, FILL_ORDER))).cast(NET))
+    rows = with_slice(fills.withColumn("signed", (F.coalesce("sz", F.lit(0)) * sign_of(F.col("side"))).cast("decimal(19,8)")), ["user", "coin"], "time_ms")
+    rows = carried(rows, {"moved": F.sum("signed")}, {"held": F.sum("moved")})
+    rows = rows.withColumn("net", (F.coalesce("held", F.lit(0)) + F.sum("signed").over(upto_here(*FILL_ORDER))).cast(NET))
     rows = rows.withColumn("prev", (F.col("net") - F.col("signed")).cast(NET))
     prev, net = F.col("prev"), F.col("net")
     kind = (
@@ -42,9 +40,9 @@ def transitions(fills: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("kind", kind).withColumn("opens", F.when(F.col("kind").isin("open", "flip"), F.col("fill_key")))
     place = F.when(F.col("opens").isNotNull(), F.struct(*FILL_ORDER))
-    rows = carried(rows, KEYS, {"last_opens": F.max_by("opens", place)}, {"opened": F.last("last_opens", ignorenulls=True)})
-    here = F.last("opens", ignorenulls=True).over(upto_here(KEYS, FILL_ORDER))
-    before = F.last("opens", ignorenulls=True).over(before_here(KEYS, FILL_ORDER))
+    rows = carried(rows, {"last_opens": F.max_by("opens", place)}, {"opened": F.last("last_opens", ignorenulls=True)})
+    here = F.last("opens", ignorenulls=True).over(upto_here(*FILL_ORDER))
+    before = F.last("opens", ignorenulls=True).over(before_here(*FILL_ORDER))
     rows = rows.withColumn("opener", F.coalesce(here, "opened")).withColumn("closer", F.when(F.col("kind") == "flip", F.coalesce(before, "opened")))
     return rows.select(*fills.columns, "prev", "net", "kind", F.when(F.col("kind") != "none", F.col("opener")).alias("opener"), "closer")
 

@@ -3,6 +3,9 @@
 A window over all rows of a busy entity would sort them in one task. Here the rows of an entity are cut
 into slices of time; what a slice hands on is folded into one row, those rows are put in order, and each
 slice starts from what reached it.
+
+The entity's columns are held in one struct, as structs with nulls inside compare as equal: windows and
+joins by entity and slice then share one hash partitioning, nulls being entities of their own.
 """
 
 from __future__ import annotations
@@ -13,32 +16,28 @@ from pyspark.sql import functions as F
 SLICE_MS = 6 * 3_600_000
 
 
-def with_slice(df: DataFrame, time: str, width: int = SLICE_MS) -> DataFrame:
-    return df.withColumn("__slice", F.floor(F.col(time) / width))
+def with_slice(df: DataFrame, keys: list[str], time: str, width: int = SLICE_MS) -> DataFrame:
+    """``df`` with ``__key`` and ``__slice``, by which :func:`carried` and the windows work."""
+    return df.withColumn("__key", F.struct(*keys)).withColumn("__slice", F.floor(F.col(time) / width))
 
 
-def upto_here(keys: list[str], order: list[str]) -> WindowSpec:
+def upto_here(*order: str) -> WindowSpec:
     """Within the slice, the rows up to the current one."""
-    return Window.partitionBy(*keys, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return Window.partitionBy("__key", "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def before_here(keys: list[str], order: list[str]) -> WindowSpec:
-    return Window.partitionBy(*keys, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+def before_here(*order: str) -> WindowSpec:
+    return Window.partitionBy("__key", "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def carried(df: DataFrame, keys: list[str], fold: dict[str, Column], hand_on: dict[str, Column]) -> DataFrame:
+def carried(df: DataFrame, fold: dict[str, Column], hand_on: dict[str, Column]) -> DataFrame:
     """``df`` with what reaches its slice from the entity's earlier slices.
 
     ``fold`` aggregates a slice into columns; ``hand_on`` are aggregates over those columns that, taken
-    over all earlier slices, become columns of ``df`` (null in an entity's first slice). Null keys are
-    entities of their own.
+    over all earlier slices, become columns of ``df`` (null in an entity's first slice).
     """
-    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = df.groupBy(*keys, "__slice").agg(*[c.alias(n) for n, c in fold.items()])
-    slices = slices.select(
-        *[F.col(k).alias(f"__{k}") for k in keys], F.col("__slice").alias("__of"), *[c.over(earlier).alias(n) for n, c in hand_on.items()]
-    )
-    same = df["__slice"] == slices["__of"]
-    for k in keys:
-        same = same & df[k].eqNullSafe(slices[f"__{k}"])
-    return df.join(slices, same).drop("__of", *[f"__{k}" for k in keys])
+    earlier = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = df.groupBy("__key", "__slice").agg(*[c.alias(n) for n, c in fold.items()])
+    slices = slices.select(F.col("__key").alias("__key2"), F.col("__slice").alias("__slice2"), *[c.over(earlier).alias(n) for n, c in hand_on.items()])
+    same = (df["__key"] == slices["__key2"]) & (df["__slice"] == slices["__slice2"])
+    return df.join(slices, same).drop("__key2", "__slice2")
