@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def decimal_text(value: Column) -> Column:
     """A decimal without exponent and without zeros at the end of its fraction."""
     text = value.cast("string")
-    return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    return F.when(F.contains(text, F.lit(".")), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
 
 
 def _little_endian(value: Column, digits: int) -> Column:

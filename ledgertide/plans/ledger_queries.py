@@ -101,33 +101,33 @@ def incremental_append(t: Ledger) -> DataFrame:
 
 @query
 def position_net(t: Ledger) -> DataFrame:
-    return t.moves.select("fill_key", "user", "coin", F.col("prev").cast(TOTAL).alias("prev"), F.col("net").cast(TOTAL).alias("net"))
+    return positions.transitions(t.fills).select("fill_key", "user", "coin", F.col("prev").cast(TOTAL).alias("prev"), F.col("net").cast(TOTAL).alias("net"))
 
 
 @query
 def position_transitions(t: Ledger) -> DataFrame:
-    return t.moves.select("fill_key", "kind", "opener", "closer")
+    return positions.transitions(t.fills).select("fill_key", "kind", "opener", "closer")
 
 
 @query
 def transition_counts(t: Ledger) -> DataFrame:
-    return t.moves.groupBy("kind").agg(F.count(F.lit(1)).alias("fills"))
+    return positions.transitions(t.fills).groupBy("kind").agg(F.count(F.lit(1)).alias("fills"))
 
 
 @query
 def lifecycles(t: Ledger) -> DataFrame:
-    return positions.lifecycles(t.moves)
+    return positions.lifecycles(positions.transitions(t.fills))
 
 
 @query
 def effects_flip_split(t: Ledger) -> DataFrame:
-    return t.effects.select("fill_key", "effect_type", "lifecycle_id", "qty", F.col("notional").cast(NOTIONAL).alias("notional"), "fee", "closed_pnl")
+    return positions.effects(positions.transitions(t.fills)).select("fill_key", "effect_type", "lifecycle_id", "qty", F.col("notional").cast(NOTIONAL).alias("notional"), "fee", "closed_pnl")
 
 
 @query
 def snapshots_avg_entry(t: Ledger) -> DataFrame:
     """Not in SQL: the average is a recurrence in 28-digit decimals; tested against a sequential tracker."""
-    return reports.position_history(t)
+    return positions.snapshots(positions.transitions(t.fills))
 
 
 @query

@@ -17,6 +17,7 @@ from ledgertide.functions.keys import tx_hash
 from ledgertide.operators import attribution, equity, positions, taint
 from ledgertide.operators.dedup import first_written
 from ledgertide.operators.ranking import ranked
+from ledgertide.operators.storage import written
 from ledgertide.plans import params
 from ledgertide.schema import TOTAL
 
@@ -53,7 +54,8 @@ class Ledger:
 
     @cached_property
     def moves(self) -> DataFrame:
-        return positions.transitions(self.fills)
+        """Written once: effects, taints, equity and snapshots all start from it, without a shuffle."""
+        return written(positions.transitions(self.fills), "moves")
 
     @cached_property
     def effects(self) -> DataFrame:

@@ -24,8 +24,8 @@ def parsed_fills(records: DataFrame, column: str) -> DataFrame:
     A record without a readable time, side, price, size, fee or closedPnl is skipped; ``tid``, ``oid``
     and ``builderFee`` may be missing. Numbers may be written as texts.
     """
-    r = F.from_json(column, FILL_FIELDS)
-    rows = records.withColumn("__r", r)
+    # generated, not projected: a projection would be copied into every use and parse the text as often
+    rows = records.select("*", F.explode(F.array(F.from_json(column, FILL_FIELDS))).alias("__r"))
     f = lambda n: F.col(f"__r.{n}")
     side = F.when(f("side") == "A", SIDES["A"]).when(f("side") == "B", SIDES["B"])
     rows = rows.withColumns(
