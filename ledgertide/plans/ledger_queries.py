@@ -214,7 +214,13 @@ def attribution_exact(spark: SparkSession, folder: str) -> DataFrame:
     return attribution.exact_matches(fills, logs)
 
 
+def attribution_window(spark: SparkSession, folder: str) -> DataFrame:
+    logs = table(spark, folder, "builder_logs")
+    return reports.attribution_window(ledger(spark, folder), logs, "auto", BUILDER, from_ms=FROM_MS, to_ms=TO_MS)
+
+
 QUERIES |= {
+    "attribution_window": attribution_window,
     "attribution_exact": attribution_exact,
     "attribution_fuzzy": lambda spark, folder: attribution.fuzzy_matches(ledger(spark, folder).fills, table(spark, folder, "builder_logs")),
     "attribution_logs": _by_logs("logs"),

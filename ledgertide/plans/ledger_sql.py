@@ -195,3 +195,4 @@ SELECT fill_key, CAST(r.amount AS DECIMAL(38,8)) AS equity FROM f ASOF LEFT JOIN
     "risk_parse": f"""WITH {M_}, z AS (SELECT *, row_number() OVER (PARTITION BY "user", coin ORDER BY time_ms DESC, tid DESC NULLS LAST, oid DESC NULLS LAST, fill_key DESC) AS r FROM m)
 SELECT "user", coin, CAST(net AS DECIMAL(18,8)) AS size, {_text("px")} AS entry_px, '20' AS leverage FROM z WHERE r = 1 AND net <> 0""",
 }
+SQL["attribution_window"] = SQL["attribution_auto"] + f" WHERE {_WINDOW}"

@@ -91,6 +91,14 @@ def trades(ledger: Ledger, user: str | None = None, coin: str | None = None, fro
     return rows.where(is_builders).join(others, F.col("user").eqNullSafe(F.col("of_user"))).select(*columns, "tainted")
 
 
+def attribution_window(
+    ledger: Ledger, logs: DataFrame | None, mode: str, builder: str | None = None, user: str | None = None, coin: str | None = None, from_ms: int | None = None, to_ms: int | None = None
+) -> DataFrame:
+    """Attributions of the fills of a window by ``mode`` (heuristic, logs or auto), see ``attribution.attributed``."""
+    lo, hi = params.window(from_ms, to_ms)
+    return attribution.attributed(narrowed(ledger.fills, user, params.coin(coin), lo, hi), logs, mode, builder)
+
+
 def position_history(ledger: Ledger, user: str | None = None, coin: str | None = None, from_ms: int | None = None, to_ms: int | None = None, builder_only: bool = False) -> DataFrame:
     """Snapshots after each fill; ``builder_only`` leaves out tainted lifecycles."""
     coin = params.coin(coin, blank="error")
