@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from heapq import heappop, heappush
 
 import numpy as np
@@ -77,12 +78,29 @@ def pack(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
     size goes to the sequence of lowest cost (linear plus quadratic) among those that have room for it;
     if none has, a new one is opened. That alone ends with a little room everywhere and no size small
     enough for it. So the shortest sizes, ``KEPT_BACK`` for each sequence not yet full, close the
-    sequences instead, the fullest first: the longest size while two don't suffice, then the two that
-    leave the least room. What is left over is packed into the least room that holds it.
+    sequences instead, the fullest first: the longest size while two don't suffice, then of the pairs that
+    leave the least room the one that brings the sequence's cost nearest to the even share of all costs.
+    What is left over is packed into the least room that holds it, of equals at the lowest cost.
+
+    Where sizes are a quarter of the capacity or more on average, fewer sizes than sequences are left
+    for the descending pass, which then finds an empty sequence for each: there the pairs are where cost
+    decides. As the choice of pairs also settles which sizes are left for later sequences, sizes that
+    don't fit into the fewest sequences are packed a second time with the most uneven of equal pairs,
+    and of both packings the one with fewer sequences stands, the first if they have as many.
     """
+    by_cost, used = _filled(sizes, capacity, True)
+    if used * capacity < sum(sizes) + capacity:
+        return by_cost
+    uneven, fewer = _filled(sizes, capacity, False)
+    return uneven if fewer < used else by_cost
+
+
+def _filled(sizes: list[int], capacity: int, by_cost: bool) -> tuple[list[tuple[int, int]], int]:
+    """The place of each size as :func:`pack` gives it, and the number of sequences."""
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     at = [(0, 0)] * len(sizes)
     bins = _Sequences(max(1, -(-sum(sizes) // capacity)) if sizes else 0, capacity)
+    even = sum(map(cost_of, sizes)) / max(1, len(bins.used))
     full = sum(s == capacity for s in sizes)
     kept = KEPT_BACK * max(1, len(bins.used) - full)
     ahead = max(0, len(order) - kept)
@@ -94,17 +112,22 @@ def pack(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
         waiting.setdefault(sizes[i], []).append(i)
     count = np.bincount([sizes[i] for i in order[ahead:]], minlength=capacity + 1)
     for sequence in sorted(range(len(bins.used)), key=lambda s: -bins.used[s]):
-        for size in _closing(count, capacity - bins.used[sequence]):
+        for size in _closing(count, capacity - bins.used[sequence], bins.cost[sequence], even if by_cost else math.inf):
             i = waiting[size].pop()
             at[i] = bins.put(size, sequence)
     for size in sorted(waiting, reverse=True):
         for i in waiting[size]:
             at[i] = bins.put(size, bins.tightest(size))
-    return at
+    return at, len(bins.used)
+
+
+def cost_of(size: int | np.ndarray) -> float | np.ndarray:
+    """Linear plus quadratic cost of a piece."""
+    return size * (1 + size / QUADRATIC_AT)
 
 
-def _closing(count: np.ndarray, room: int) -> list[int]:
-    """The sizes, taken off ``count``, that fill ``room`` best."""
+def _closing(count: np.ndarray, room: int, cost: float, even: float) -> list[int]:
+    """The sizes, taken off ``count``, that fill ``room`` best; of equal pairs the one that takes ``cost`` nearest to ``even``, at infinity the most uneven."""
     taken: list[int] = []
     while room > 0:
         there = np.flatnonzero(count[: room + 1])
@@ -118,10 +141,13 @@ def _closing(count: np.ndarray, room: int) -> list[int]:
             again = (second == there) & (count[there] == 1)
             second = np.where(again, below[np.maximum(there - 1, 0)], second)
             left = room - there - second
-            best = len(left) - 1 - int(np.argmin(left[::-1]))
+            least = np.flatnonzero(left == left.min())
+            off = np.abs(cost + cost_of(there[least]) + cost_of(second[least]) - even)
+            best = least[-1] if even == math.inf else least[np.argmin(off)]
             pick = [int(there[best]), *([int(second[best])] if second[best] else [])]
         for size in pick:
             count[size] -= 1
+            cost += cost_of(size)
         taken += pick
         room -= sum(pick)
     return taken
@@ -158,7 +184,7 @@ class _Sequences:
     def put(self, size: int, sequence: int) -> tuple[int, int]:
         offset = self.used[sequence]
         self.used[sequence] += size
-        self.cost[sequence] += size * (1 + size / QUADRATIC_AT)
+        self.cost[sequence] += cost_of(size)
         self._refresh(self.capacity - offset)
         room = self.capacity - self.used[sequence]
         heappush(self.heaps[room], (self.cost[sequence], sequence))

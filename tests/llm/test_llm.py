@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgertide.llm import mixing, subjects
 from ledgertide.llm.mixing import mix, split_quotas
 from ledgertide.llm.nearest import XFastTrie, nearest_in_time
-from ledgertide.llm.packing import pack, packed
+from ledgertide.llm.packing import cost_of, pack, packed
 from ledgertide.llm.percentiles import partial_counts, percentiles
 from ledgertide.llm.tokens import counter, with_tokens
 
@@ -171,6 +171,24 @@ def test_packing_is_sound(sizes, capacity):
     assert len(used) <= 2 * -(-sum(sizes) // capacity) + 1
 
 
+def test_packing_balances_costs():
+    rng = random.Random(6)
+    sizes = [1 + int(2000 * rng.betavariate(2, 5)) for _ in range(3000)]
+    costs = defaultdict(float)
+    for (s, _), n in zip(pack(sizes, 2048), sizes, strict=True):
+        costs[s] += cost_of(n)
+    assert len(costs) == -(-sum(sizes) // 2048)
+    even = sum(costs.values()) / len(costs)
+    assert sum((c - even) ** 2 for c in costs.values()) / len(costs) < 110**2
+
+
+def test_packing_opens_no_more_for_the_costs():
+    for seed in range(4):  # by cost alone 2, 1, 3 and 2 more than the fewest
+        rng = random.Random(seed)
+        sizes = [rng.randrange(100, 1001) for _ in range(3000)]
+        assert len({s for s, _ in pack(sizes, 2048)}) <= -(-sum(sizes) // 2048) + 1
+
+
 def test_packing_wastes_little(spark, data):
     documents = spark.read.parquet(f"{data}/documents.parquet")
     many = documents.unionByName(documents.withColumn("doc_id", F.col("doc_id") + 10**6))
