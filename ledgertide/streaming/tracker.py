@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgertide.operators.positions import next_average
+from ledgertide.plans.compile import BUCKETS, ingest
 from ledgertide.schema import AVERAGE, NET
 from ledgertide.sources.sinks import append_new
 
-#: What may arrive so much later than the newest fill is still put in its place.
+#: What may arrive so much later than the newest fill is still put in its place by ``positions``.
 LOOKBACK = "24 hours"
 OUT = f"user string, coin string, time_ms long, fill_key string, kind string, net_size {NET}, avg_entry_px {AVERAGE}, opener string"
 STATE = "net string, avg string, opener string, pending string"
@@ -27,7 +28,9 @@ def positions(fills: DataFrame, lookback: str = LOOKBACK) -> DataFrame:
     Repeated fill keys are dropped within the watermark. Each (user, coin) keeps its net size, average
     entry and opening fill in the state store, with the fills the watermark hasn't passed; a fill is
     folded in when the watermark passes it, in the order of time, tid, oid and key. Fills later than
-    ``lookback`` are dropped. A restart goes on from the checkpoint: no position starts from empty.
+    ``lookback`` are dropped here (``numRowsDroppedByWatermark`` in the query's progress counts them), and
+    the later rows of their wallet and coin are without them: start :func:`follow` on the same source,
+    which has them all. A restart goes on from the checkpoint: no position starts from empty.
     """
     rows = fills.select("user", "coin", "time_ms", "side", "px", "sz", "tid", "oid", "fill_key").withColumn("at", F.timestamp_millis("time_ms"))
     once = rows.withWatermark("at", lookback).dropDuplicatesWithinWatermark(["fill_key"])
@@ -76,6 +79,26 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
 
+def follow(fills: DataFrame, folder: str, checkpoint: str, available_now: bool = True, buckets: int = BUCKETS):
+    """Keep the fills of a stream stored in ``folder``, and lifecycles, effects and snapshots with them, however late a fill is.
+
+    There is no watermark: each batch goes to :func:`ledgertide.plans.compile.ingest`, which recompiles the
+    buckets of its wallets and coins from all stored fills. So a fill that lies any time behind the newest
+    corrects the rows after it, and the tables don't depend on where batches end. Replayed batches change
+    nothing. A batch costs a reading of its buckets' history, so batches should be large.
+    """
+    writer = fills.writeStream.foreachBatch(lambda batch, _: _ingested(batch, folder, buckets)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _ingested(batch: DataFrame, folder: str, buckets: int) -> None:
+    batch = batch.persist()  # read twice, and the source only once
+    try:
+        ingest(batch, folder, buckets)
+    finally:
+        batch.unpersist()
+
+
 def store_fills(fills: DataFrame, path: str, checkpoint: str, available_now: bool = True):
     """Keep appending the fills of a stream that aren't stored yet; replayed batches change nothing."""
     writer = fills.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, "fill_key", "id")).option("checkpointLocation", checkpoint)

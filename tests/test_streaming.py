@@ -31,6 +31,25 @@ def test_stream_matches_batch(spark, tmp_path):
     assert batch.transitions(spark.createDataFrame(rows, STORED)).where(F.col("kind") != "none").count() == len(want)
 
 
+def test_followed_stream_has_fills_behind_the_watermark(spark, tmp_path):
+    rows = sorted((r for r in random_fills(12, 200) if r[1] is not None), key=lambda r: r[3])
+    late = rows[10:20]  # more than the look-back behind the newest
+    source = str(tmp_path / "in")
+    rest = [r for r in rows if r not in late]
+    for part in (rest[:90], rest[90:] + rest[:5], late + rest[-3:]):
+        spark.createDataFrame(part, STORED).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(STORED).option("maxFilesPerTrigger", 1).parquet(source)
+    out, folder = str(tmp_path / "out"), str(tmp_path / "kept")
+    tracker.positions(stream, "2 hours").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c1")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert not {r[12] for r in late} & {r.fill_key for r in spark.read.parquet(out).collect()}
+    tracker.follow(stream, folder, str(tmp_path / "c2"), buckets=4).awaitTermination()
+    moves = batch.transitions(spark.createDataFrame(rows, STORED))
+    for name, table in {"snapshots": batch.snapshots(moves), "effects": batch.effects(moves), "lifecycles": batch.lifecycles(moves)}.items():
+        got = spark.read.parquet(f"{folder}/{name}").select(table.columns)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, table.collect()), key=repr)
+    assert {r[12] for r in late} & {r.fill_key for r in spark.read.parquet(f"{folder}/snapshots").collect()}
+
+
 def test_stored_stream_is_idempotent(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "fills")
     rows = random_fills(8, 50)
