@@ -22,23 +22,41 @@ def compile_tables(fills: DataFrame, folder: str, only: list[int] | None = None,
     """Derive lifecycles, effects and snapshots of ``fills`` and write them over the buckets in ``only``.
 
     Always from the whole history of a wallet and coin: a position never starts from empty in the middle.
-    Written buckets replace the stored ones as a whole, so running it again changes nothing.
+    Written buckets replace the stored ones as a whole, so running it again changes nothing. At last the
+    number of fills each bucket was compiled from is written to ``compiled``.
     """
     rows = fills if only is None else fills.where(bucket(buckets).isin(only))
     moves = written(positions.transitions(first_written(rows, "fill_key", "id")), "moves")
     derived = {"lifecycles": positions.lifecycles(moves), "effects": positions.effects(moves), "snapshots": positions.snapshots(moves)}
     for name, table in derived.items():
         replace_partitions(table.withColumn("bucket", bucket(buckets)), f"{folder}/{name}", ["bucket"])
+    replace_partitions(_sizes(rows, buckets), f"{folder}/compiled", ["bucket"])
+
+
+def _sizes(fills: DataFrame, buckets: int) -> DataFrame:
+    return fills.groupBy(bucket(buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("fills"))
+
+
+def _behind(fills: DataFrame, folder: str, buckets: int) -> list[int]:
+    """The buckets that were last compiled from another number of fills than are stored, or never."""
+    now, compiled = _sizes(fills, buckets), stored(fills.sparkSession, f"{folder}/compiled")
+    if compiled is not None:
+        now = now.join(compiled.select("bucket", "fills"), ["bucket", "fills"], "left_anti")
+    return [r.bucket for r in now.collect()]  # at most `buckets`
 
 
 def ingest(incoming: DataFrame, folder: str, buckets: int = BUCKETS) -> int:
-    """Store the fills that are new and recompile the buckets they fall into; gives the number of new fills.
+    """Store the fills that are new and recompile the buckets that have fills not compiled yet; gives the number of new fills.
 
     Fills may overlap what is stored and may be older than it: a look back costs nothing but the reading.
+    Stored fills are only ever added to, so a bucket whose number of fills isn't the one it was compiled
+    from is behind. That also finds fills appended by a job that died before it had compiled them, or by
+    :func:`ledgertide.streaming.tracker.store_fills`, whatever ``incoming`` holds.
     """
     path = f"{folder}/fills"
-    touched = [r[0] for r in incoming.select(bucket(buckets).alias("b")).distinct().collect()]  # at most `buckets`
     new = append_new(incoming, path, "fill_key", "id")
-    if new:
-        compile_tables(stored(incoming.sparkSession, path), folder, touched, buckets)
+    fills = stored(incoming.sparkSession, path)
+    behind = _behind(fills, folder, buckets) if fills is not None else []
+    if behind:
+        compile_tables(fills, folder, behind, buckets)
     return new

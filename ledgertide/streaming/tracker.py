@@ -87,18 +87,10 @@ def follow(fills: DataFrame, folder: str, checkpoint: str, available_now: bool =
     corrects the rows after it, and the tables don't depend on where batches end. Replayed batches change
     nothing. A batch costs a reading of its buckets' history, so batches should be large.
     """
-    writer = fills.writeStream.foreachBatch(lambda batch, _: _ingested(batch, folder, buckets)).option("checkpointLocation", checkpoint)
+    writer = fills.writeStream.foreachBatch(lambda batch, _: ingest(batch, folder, buckets)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _ingested(batch: DataFrame, folder: str, buckets: int) -> None:
-    batch = batch.persist()  # read twice, and the source only once
-    try:
-        ingest(batch, folder, buckets)
-    finally:
-        batch.unpersist()
-
-
 def store_fills(fills: DataFrame, path: str, checkpoint: str, available_now: bool = True):
     """Keep appending the fills of a stream that aren't stored yet; replayed batches change nothing."""
     writer = fills.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, "fill_key", "id")).option("checkpointLocation", checkpoint)

@@ -342,3 +342,23 @@ def test_incremental_compile_equals_full(spark, tmp_path):
     for name in ("lifecycles", "effects", "snapshots"):
         a, b = (Counter(map(tuple, spark.read.parquet(str(tmp_path / d / name)).collect())) for d in ("parts", "whole"))
         assert a == b and a
+
+
+@pytest.mark.parametrize("dies_in", ["transitions", "snapshots"])
+def test_ingest_after_a_job_that_died(spark, tmp_path, monkeypatch, dies_in):
+    rows = random_fills(13, 120)
+    df = lambda part: spark.createDataFrame(part, STORED)
+    folder = str(tmp_path / "died")
+    compile.ingest(df(rows[:60]), folder, buckets=4)
+    with monkeypatch.context() as m:
+        m.setattr(positions, dies_in, lambda _: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            compile.ingest(df(rows), folder, buckets=4)
+    assert compile.ingest(df(rows), folder, buckets=4) == 0
+    compile.ingest(df(rows), str(tmp_path / "whole"), buckets=4)
+    for name in ("lifecycles", "effects", "snapshots"):
+        a, b = (Counter(map(tuple, spark.read.parquet(f"{d}/{name}").collect())) for d in (folder, str(tmp_path / "whole")))
+        assert a == b and a
+    written = lambda: sorted(p.name for p in (tmp_path / "died" / "snapshots").rglob("*.parquet"))
+    before = written()
+    assert compile.ingest(df(rows[:9]), folder, buckets=4) == 0 and written() == before
