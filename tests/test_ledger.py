@@ -187,6 +187,24 @@ def test_attribution_modes(spark):
     assert attribution.fuzzy_matches(fills, logs.limit(0)).count() == 0
 
 
+def test_exact_matches_on_a_foreign_log(spark):
+    rng = random.Random(14)
+    rows = [fill(i, t=rng.randrange(4) * 86_400_000, tid=rng.randrange(150), key=f"k{i}") for i in range(400)]
+    rows = [r[:10] + (None if i % 9 == 0 else r[10],) + r[11:] for i, r in enumerate(rows)]
+    day_of = lambda d: f"202401{11 + d}"
+    # wallet, coin, side, price and size are of no fill; half the tids are of none either
+    logs = [(day_of(rng.randrange(-1, 6)), T0, B, "OTHER", "sell", D(77), D(77), rng.choice([None, rng.randrange(300)]), None) for _ in range(300)]
+    fills, log = spark.createDataFrame(rows, STORED), spark.createDataFrame(logs + logs[:50], BUILDER_LOGS)
+    named = {(r[0], r[7]) for r in logs if r[7] is not None}
+    want = sorted(r[12] for r in rows if (day_of((r[3] - T0) // 86_400_000), r[10]) in named)
+    assert want and len(want) < len(rows)
+    assert sorted(r.fill_key for r in attribution.exact_matches(fills, log).collect()) == want
+    for mode in ("logs", "auto"):
+        got = attribution.attributed(fills, log, mode, "x")
+        assert got.count() == len(rows)
+        assert sorted(r.fill_key for r in got.where("mode = 'logs' and attributed and confidence = 'exact'").collect()) == want
+
+
 def test_taint_and_reason(spark):
     rows = [fill(2), fill(1, t=1, side="sell", bf=None), fill(3, t=2), fill(4, t=3, bf="0", coin="ETH")]
     t = ledger(spark, rows)
