@@ -51,8 +51,10 @@ def mix(
     ``targets`` has ``source``, ``target_share`` and ``max_repeats``; ``total_tokens`` is the size of the
     whole corpus if not given. ``chosen`` is ``(<doc_id>, source, pass, shard, position, n_tokens)``: one
     row for each use of a document, ``pass`` counting the uses from 1. ``shares`` is ``(source,
-    target_share, actual_share, target_tokens, chosen_tokens, available_tokens, documents, uses)``, the
-    actual share being of ``total_tokens``.
+    target_share, actual_share, target_tokens, chosen_tokens, available_tokens, documents, uses, mix_share,
+    total_tokens, mix_tokens)``: ``actual_share`` is of ``total_tokens``, ``mix_share`` of ``mix_tokens``, the
+    total reached (0 if nothing was chosen). Where a source falls short ``mix_tokens`` is below
+    ``total_tokens``, and the others have more of the mix than of the total.
 
     The documents of a source stand in a random order and are cut into blocks of it. A source is used in
     whole passes as long as its target asks for them and ``max_repeats`` allows; of a last, partial pass
@@ -146,7 +148,8 @@ def mix(
         "source string, target_share double, target_tokens long, available_tokens long, documents long",
     )
     none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    shares = asked.join(reached, "source", "left").select(
+    whole_mix = chosen.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("mix_tokens"))
+    shares = asked.join(reached, "source", "left").crossJoin(F.broadcast(whole_mix)).select(
         "source",
         "target_share",
         (F.coalesce("chosen_tokens", F.lit(0)) / F.lit(float(max(total, 1)))).alias("actual_share"),
@@ -155,6 +158,9 @@ def mix(
         "available_tokens",
         "documents",
         none("uses"),
+        (F.coalesce("chosen_tokens", F.lit(0)) / F.greatest("mix_tokens", F.lit(1)).cast("double")).alias("mix_share"),
+        F.lit(total).cast("long").alias("total_tokens"),
+        "mix_tokens",
     )
     return Mix(chosen, shares)
 

@@ -255,6 +255,17 @@ def test_mix_reaches_its_shares(spark, monkeypatch):
     assert Counter(map(tuple, chosen)) == Counter(map(tuple, again))
 
 
+def test_mix_reports_what_it_reached(spark):
+    rows = [(i, "long", "word " * 9 + "word") for i in range(300)] + [(1000, "short", "word word word")]
+    shares = {r.source: r for r in mix(corpus(spark, rows), targets(spark, [("long", 0.5, 1), ("short", 0.5, 2)]), total_tokens=2000).shares.collect()}
+    reached = sum(r.chosen_tokens for r in shares.values())
+    assert abs(reached - 1006) < 20 and {(r.mix_tokens, r.total_tokens) for r in shares.values()} == {(reached, 2000)}
+    assert all(abs(r.mix_share - r.chosen_tokens / reached) < 1e-12 and abs(r.actual_share - r.chosen_tokens / 2000) < 1e-12 for r in shares.values())
+    assert shares["long"].mix_share > 0.99 and abs(sum(r.mix_share for r in shares.values()) - 1) < 1e-12
+    none = mix(corpus(spark, []), targets(spark, [("long", 1.0, 1)])).shares.first()
+    assert (none.mix_share, none.mix_tokens, none.total_tokens) == (0, 0, 0)
+
+
 def test_mix_edges(spark):
     none = mix(corpus(spark, []), targets(spark, [("a", 1.0, 1)]))
     assert none.chosen.count() == 0 and [tuple(r)[:2] for r in none.shares.collect()] == [("a", 1.0)]
