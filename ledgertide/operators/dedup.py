@@ -32,6 +32,7 @@ def copies_folded(df: DataFrame, key: str, same: list[str], sums: dict[str, Colu
     """One row per ``key`` and ``same`` with ``sums`` over its copies and the least value of each of ``least``.
 
     For copies that agree wherever it matters: as no whole row has to be carried, this runs as a hash
-    aggregation with map-side combining.
+    aggregation with map-side combining. Rows with a null key are copies of each other, as in SQL; where each
+    is a row of its own, give them an id and name it in ``same``.
     """
     return df.groupBy(key, *same).agg(*[c.alias(n) for n, c in sums.items()], *[F.min(c).alias(c) for c in least])

@@ -29,9 +29,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals over the distinct fills; ``rows`` also counts their stored copies."""
+    """Totals over the distinct fills; ``rows`` also counts their stored copies.
+
+    A null ``fill_key`` identifies nothing: each such row is a fill of its own, as in ``p1_percentiles``. (The
+    SQL makes all of them one fill of any wallet; the tables have none.)
+    """
+    rows = table(spark, folder, "raw_fills").withColumn("keyless", F.when(F.col("fill_key").isNull(), F.monotonically_increasing_id()))
     fills = copies_folded(
-        table(spark, folder, "raw_fills"), "fill_key", ["user", "coin"], {"rows": F.count(F.lit(1))}, ["px", "sz", "fee", "closed_pnl"]
+        rows, "fill_key", ["keyless", "user", "coin"], {"rows": F.count(F.lit(1))}, ["px", "sz", "fee", "closed_pnl"]
     )
     total = lambda c, kind: F.sum(c).cast(kind)
     measures = {

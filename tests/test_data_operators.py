@@ -7,6 +7,7 @@ import io
 import random
 import re
 from collections import Counter, defaultdict
+from decimal import Decimal as D
 
 import pytest
 from hypothesis import given, settings
@@ -18,6 +19,7 @@ from ledgertide.operators.hotkeys import keys_above_share, totals_per_key
 from ledgertide.operators.intervals import periods_and_gaps
 from ledgertide.operators.ranking import ranked
 from ledgertide.operators.rejects import split_records
+from ledgertide.plans.data_queries import p3_totals
 
 SPANS = "user string, s long, e long, k string, slab long, period long"
 
@@ -223,6 +225,15 @@ def test_first_and_last_write(spark):
     assert {r.k: (r.n, r.id) for r in folded.collect()} == {"a": (2, 1), "b": (1, 3), None: (2, 4)}
 
 
+def test_fills_without_a_key_are_fills_of_their_own(spark, tmp_path):
+    row = lambda i, px, key: (i, "u", "c", D(px), D(2), D(1), D(-1), key)
+    rows = [row(1, 5, "a"), row(2, 5, "a"), row(3, 7, None), row(4, 11, None), row(5, 11, None)]
+    kinds = "id long, user string, coin string, px decimal(18,8), sz decimal(18,8), fee decimal(20,8), closed_pnl decimal(20,8), fill_key string"
+    spark.createDataFrame(rows, kinds).repartition(3).write.parquet(str(tmp_path / "raw_fills.parquet"))
+    got = {(r.field, r.key_value): (r["rows"], r.fills, r.volume, r.fees, r.closed_pnl) for r in p3_totals(spark, str(tmp_path)).collect()}
+    assert got == {k: (5, 4, 68, 4, -4) for k in (("user", "u"), ("coin", "c"))}
+
+
 def test_global_ranks(spark):
     rng = random.Random(3)
     rows = [(rng.randrange(20), f"u{i}") for i in range(500)]
