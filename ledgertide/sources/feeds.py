@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,10 +136,48 @@ def builder_log_csv(spark: SparkSession, path: str) -> DataFrame:
     ``operators.rejects``.
     """
     rows = spark.read.option("header", True).option("mode", "FAILFAST").option("multiLine", True).option("escape", '"').csv(path)
+    return _typed_log(rows, F.input_file_name())
+
+
+LOG_COLUMNS = ["time", "user", "coin", "side", "px", "sz"]
+
+
+def builder_log_lz4(spark: SparkSession, path: str) -> DataFrame:
+    """Strict reader of builder logs in LZ4 frames, ``<builder>/<yyyymmdd>.csv.lz4``, otherwise as :func:`builder_log_csv`.
+
+    A file is unpacked as a whole in one task. A cut or broken frame, a record with another number of
+    fields than the header, and a header without one of ``LOG_COLUMNS`` fail the read.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv.lz4").option("recursiveFileLookup", True).load(path)
+    rows = files.select("path", "content").mapInArrow(_unpacked, ", ".join(f"{c} string" for c in ["path", *LOG_COLUMNS]))
+    return _typed_log(rows, F.col("path"))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, content in zip(b.column("path").to_pylist(), b.column("content")):
+            with pa.input_stream(content.as_buffer(), compression="lz4") as frames:
+                records = csv.reader(io.StringIO(frames.read().decode("utf-8-sig"), newline=""), strict=True)
+            header = next(records, None)
+            if header is None:
+                raise ValueError(f"{path}: no header")
+            at = [header.index(c) for c in LOG_COLUMNS]
+            out = []
+            for r in records:
+                if not r:
+                    continue
+                if len(r) != len(header):
+                    raise ValueError(f"{path}: {len(r)} fields, {len(header)} in the header")
+                out.append([path, *[r[i] or None for i in at]])
+            columns = zip(*out) if out else [()] * (len(LOG_COLUMNS) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["path", *LOG_COLUMNS])
+
+
+def _typed_log(rows: DataFrame, file_name: Column) -> DataFrame:
     word = F.lower(F.trim("side"))
     side = F.when(word.isin("a", "buy", "bid"), "buy").when(word.isin("b", "sell", "ask"), "sell").otherwise(F.raise_error(F.concat(F.lit("unknown side "), F.coalesce("side", F.lit("null")))).cast("string"))
     return rows.select(
-        F.regexp_extract(F.input_file_name(), r"([0-9]{8})[^/]*$", 1).alias("day"),
+        F.regexp_extract(file_name, r"([0-9]{8})[^/]*$", 1).alias("day"),
         F.unix_millis(F.to_timestamp("time")).alias("time_ms"),
         "user",
         "coin",

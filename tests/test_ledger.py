@@ -9,6 +9,7 @@ import struct
 from collections import Counter, defaultdict
 from decimal import Decimal as D
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,6 +324,26 @@ def test_feeds(spark):
     assert [(r.account_value, r.withdrawable, r.total_raw) for r in feeds.risk_summary(df, "r").orderBy("user").collect()] == [("10", "3", "0"), ("0", "0", "0")]
 
 
+def test_builder_csv_in_lz4_frames(spark, tmp_path):
+    def framed(name, text, cut=None):
+        sink = pa.BufferOutputStream()
+        with pa.CompressedOutputStream(sink, "lz4") as out:
+            out.write(text.encode())
+        (tmp_path / "0xb").mkdir(exist_ok=True)
+        (tmp_path / "0xb" / name).write_bytes(sink.getvalue().to_pybytes()[:cut])
+
+    head, row = "time,user,coin,side,px,sz,crossed\n", "2023-11-14T16:53:20.000Z,0xabc,BTC,A,100,1,false\n"
+    framed("20231114.csv.lz4", head + row * 2)
+    framed("20231115.csv.lz4", 'sz,px,side,"coin",user,time\n2,3.5,ask,"K""\nX",0xdef,2023-11-15T16:53:20.001Z\n')
+    framed("20231116.csv.lz4", head)
+    got = sorted((r.day, r.time_ms, r.user, r.coin, r.side, r.px, r.sz) for r in feeds.builder_log_lz4(spark, str(tmp_path)).collect())
+    assert got == [("20231114", 1699980800000, "0xabc", "BTC", "buy", 100, 1)] * 2 + [("20231115", 1700067200001, "0xdef", 'K"\nX', "sell", D("3.5"), 2)]
+    for wrong, cut in ((head + row, -9), (head + row.replace(",A,", ",X,"), None), (head + row.replace(",false", ""), None), (row, None)):
+        framed("20231114.csv.lz4", wrong, cut)
+        with pytest.raises(Exception):
+            feeds.builder_log_lz4(spark, str(tmp_path)).collect()
+
+
 def test_builder_csv(spark, tmp_path):
     wide = "time,user,coin,side,px,sz,crossed\n2023-11-14T16:53:20.000Z,0xabc,BTC,A,100,1,false\n"
     (tmp_path / "b").mkdir()
