@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from heapq import heappop, heappush
 
 import numpy as np
@@ -14,13 +15,11 @@ from ledgertide.llm.tokens import VOCABULARY, sizes_of
 
 #: Attention over n tokens costs about n * (1 + n / QUADRATIC_AT).
 QUADRATIC_AT = 4096
-#: So many of the shortest pieces per open sequence are kept back to close the sequences with.
-KEPT_BACK = 3
 #: Documents that are packed together in one task, on average.
 SHARD_DOCUMENTS = 50_000
 
 
-def packed(documents: DataFrame, doc_id: str, text: str, capacity: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
+def packed(documents: DataFrame, doc_id: str, text: str, capacity: int = 2048, vocabulary: str = VOCABULARY, repair: bool = False) -> DataFrame:
     """``(<doc_id>, piece, n_tokens, sequence, position, start)``: where each document goes.
 
     A document is one piece unless it is longer than ``capacity``; then it is cut into pieces of
@@ -28,8 +27,8 @@ def packed(documents: DataFrame, doc_id: str, text: str, capacity: int = 2048, v
     piece in it from 0, ``start`` the token in it at which the piece starts.
 
     Only lengths are shuffled, never texts. The documents are dealt by the hash of their row into shards
-    of about ``SHARD_DOCUMENTS``, whatever their ids or sizes, and each shard is packed by :func:`pack`
-    in one task; a shard leaves at most a few sequences half empty.
+    of about ``SHARD_DOCUMENTS``, whatever their ids or sizes, and each shard is packed in one task by
+    :func:`balanced`, or with ``repair`` by :func:`pack`; a shard leaves at most a few sequences half empty.
 
     Each row is placed, rows that repeat a ``doc_id`` too. A null or empty text has no tokens and takes
     no place: it comes out as one piece with null ``sequence``, ``position`` and ``start``. No rows in,
@@ -41,7 +40,7 @@ def packed(documents: DataFrame, doc_id: str, text: str, capacity: int = 2048, v
     kind = sizes.schema["id"].dataType.simpleString()
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        return _packed_shard(shard, capacity)
+        return _packed_shard(shard, capacity, pack if repair else balanced)
 
     out = dealt.where(F.col("n_tokens") > 0).groupBy("shard").applyInPandas(
         run, f"id {kind}, piece int, n_tokens long, sequence long, position int, start int"
@@ -52,7 +51,7 @@ def packed(documents: DataFrame, doc_id: str, text: str, capacity: int = 2048, v
     return out.unionByName(empty).withColumnRenamed("id", doc_id)
 
 
-def _packed_shard(shard: pd.DataFrame, capacity: int) -> pd.DataFrame:
+def _packed_shard(shard: pd.DataFrame, capacity: int, place: Callable[[list[int], int], list[tuple[int, int]]]) -> pd.DataFrame:
     shard = shard.sort_values("row_id", kind="stable").reset_index(drop=True)
     whole, rest = np.divmod(shard["n_tokens"].to_numpy(), capacity)
     pieces = whole + (rest > 0)
@@ -62,7 +61,7 @@ def _packed_shard(shard: pd.DataFrame, capacity: int) -> pd.DataFrame:
     full = size == capacity
     sequence, start = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
     sequence[full] = np.arange(full.sum())
-    placed = np.array(pack(size[~full].tolist(), capacity), np.int64).reshape(-1, 2)
+    placed = np.array(place(size[~full].tolist(), capacity), np.int64).reshape(-1, 2)
     sequence[~full] = placed[:, 0] + full.sum()
     start[~full] = placed[:, 1]
     out = pd.DataFrame({"id": shard["id"].take(of).to_numpy(), "piece": piece, "n_tokens": size, "sequence": sequence, "start": start})
@@ -71,54 +70,74 @@ def _packed_shard(shard: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return out[["id", "piece", "n_tokens", "sequence", "position", "start"]]
 
 
-def pack(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
-    """``(sequence, offset)`` of each size (1 to ``capacity``), the sequences filled by balanced cost.
-
-    As many sequences as the sizes need at the least are open from the start. In descending order each
-    size goes to the sequence of lowest cost (linear plus quadratic) among those that have room for it;
-    if none has, a new one is opened. That alone ends with a little room everywhere and no size small
-    enough for it. So the shortest sizes, ``KEPT_BACK`` for each sequence not yet full, close the
-    sequences instead, the fullest first: the longest size while two don't suffice, then of the pairs that
-    leave the least room the one that brings the sequence's cost nearest to the even share of all costs.
-    What is left over is packed into the least room that holds it, of equals at the lowest cost.
-
-    Where sizes are a quarter of the capacity or more on average, fewer sizes than sequences are left
-    for the descending pass, which then finds an empty sequence for each: there the pairs are where cost
-    decides. As the choice of pairs also settles which sizes are left for later sequences, sizes that
-    don't fit into the fewest sequences are packed a second time with the most uneven of equal pairs,
-    and of both packings the one with fewer sequences stands, the first if they have as many.
-    """
-    by_cost, used = _filled(sizes, capacity, True)
-    if used * capacity < sum(sizes) + capacity:
-        return by_cost
-    uneven, fewer = _filled(sizes, capacity, False)
-    return uneven if fewer < used else by_cost
-
+def balanced(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
+    """``(sequence, offset)`` of each size (1 to ``capacity``), every one placed by balanced cost.
 
-def _filled(sizes: list[int], capacity: int, by_cost: bool) -> tuple[list[tuple[int, int]], int]:
-    """The place of each size as :func:`pack` gives it, and the number of sequences."""
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    In descending order (of equals the first) each size goes to the open sequence of lowest cost, linear
+    plus quadratic, among those that have room for it, of equal costs to the one opened first; only if
+    none has room a new one is opened. As sequences are opened one by one, the short sizes at the end
+    find room in sequences of low cost, where opening all at once would leave some room in each of them.
+    """
+    bins = _Sequences(capacity)
     at = [(0, 0)] * len(sizes)
-    bins = _Sequences(max(1, -(-sum(sizes) // capacity)) if sizes else 0, capacity)
-    even = sum(map(cost_of, sizes)) / max(1, len(bins.used))
-    full = sum(s == capacity for s in sizes)
-    kept = KEPT_BACK * max(1, len(bins.used) - full)
-    ahead = max(0, len(order) - kept)
-    for i in order[:ahead]:
+    for i in _descending(sizes):
         at[i] = bins.put(sizes[i], bins.cheapest(sizes[i]))
+    return at
+
 
+def pack(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
+    """:func:`balanced`, then a repair that moves placed sizes where that saves sequences.
+
+    Nothing is moved if ``balanced`` needs the fewest sequences the sizes can have. Else the sequences
+    beyond the fewest, the least full ones, are dissolved and each other one keeps its longest size and
+    gives up the others. They go back to close the sequences, the fullest first: the longest size while two
+    don't suffice, then of the pairs that leave the least room the one that brings the sequence's cost
+    nearest to the even share of all costs; what is left goes by balanced cost. As the choice of pairs
+    also settles which sizes are left for later sequences, sizes that don't fit into the fewest sequences
+    are closed a second time with the most uneven of equal pairs. Of the three packings the one with the
+    fewest sequences stands, the first of equals.
+    """
+    best = balanced(sizes, capacity)
+    fewest, used = -(-sum(sizes) // capacity), len({s for s, _ in best})
+    for by_cost in (True, False):
+        if used > fewest:
+            moved = _repaired(sizes, capacity, best, fewest, by_cost)
+            count = len({s for s, _ in moved})
+            best, used = (moved, count) if count < used else (best, used)
+    return best
+
+
+def _descending(sizes: list[int]) -> list[int]:
+    return sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+
+
+def _repaired(sizes: list[int], capacity: int, placed: list[tuple[int, int]], fewest: int, by_cost: bool) -> list[tuple[int, int]]:
+    """The places after the repair that :func:`pack` describes."""
+    held: dict[int, list[int]] = {}
+    for i in _descending(sizes):
+        held.setdefault(placed[i][0], []).append(i)
+    fill = {s: sum(sizes[i] for i in own) for s, own in held.items()}
+    stay = sorted(held, key=lambda s: (-fill[s], s))[:fewest]
+    bins, at = _Sequences(capacity), [(0, 0)] * len(sizes)
+    loose = [i for s in held.keys() - set(stay) for i in held[s]]
+    for s in stay:
+        longest, *others = held[s]
+        at[longest] = bins.put(sizes[longest], bins.opened())
+        loose += others
+
+    even = sum(map(cost_of, sizes)) / fewest
     waiting: dict[int, list[int]] = {}
-    for i in reversed(order[ahead:]):
+    for i in sorted(loose, key=lambda i: (-sizes[i], i), reverse=True):
         waiting.setdefault(sizes[i], []).append(i)
-    count = np.bincount([sizes[i] for i in order[ahead:]], minlength=capacity + 1)
+    count = np.bincount([sizes[i] for i in loose], minlength=capacity + 1)
     for sequence in sorted(range(len(bins.used)), key=lambda s: -bins.used[s]):
         for size in _closing(count, capacity - bins.used[sequence], bins.cost[sequence], even if by_cost else math.inf):
             i = waiting[size].pop()
             at[i] = bins.put(size, sequence)
     for size in sorted(waiting, reverse=True):
         for i in waiting[size]:
-            at[i] = bins.put(size, bins.tightest(size))
-    return at, len(bins.used)
+            at[i] = bins.put(size, bins.cheapest(size))
+    return at
 
 
 def cost_of(size: int | np.ndarray) -> float | np.ndarray:
@@ -153,27 +172,29 @@ def _closing(count: np.ndarray, room: int, cost: float, even: float) -> list[int
     return taken
 
 
+_NONE = (math.inf, -1)  #: no sequence, as (cost, sequence)
+
+
 class _Sequences:
-    """Open sequences, found by lowest cost or least room among those that have room enough.
+    """Open sequences, found by lowest cost among those that have room enough.
 
     ``heaps[r]`` holds the sequences with ``r`` tokens of room by cost; ``low`` is a segment tree over
-    the rooms with the lowest cost in each range.
+    the rooms with the lowest (cost, sequence) in each range.
     """
 
-    def __init__(self, count: int, capacity: int) -> None:
+    def __init__(self, capacity: int) -> None:
         self.capacity, self.base = capacity, 1 << capacity.bit_length()
-        self.used, self.cost = [0] * count, [0.0] * count
+        self.used: list[int] = []
+        self.cost: list[float] = []
         self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
-        self.low = [float("inf")] * (2 * self.base)
-        self.heaps[capacity] = [(0.0, s) for s in range(count)]
-        self._refresh(capacity)
+        self.low = [_NONE] * (2 * self.base)
 
     def _refresh(self, room: int) -> None:
         heap = self.heaps[room]
         while heap and (self.capacity - self.used[heap[0][1]] != room or self.cost[heap[0][1]] != heap[0][0]):
             heappop(heap)
         i = self.base + room
-        self.low[i] = heap[0][0] if heap else float("inf")
+        self.low[i] = heap[0] if heap else _NONE
         while i > 1:
             i >>= 1
             new = min(self.low[2 * i], self.low[2 * i + 1])
@@ -191,7 +212,7 @@ class _Sequences:
         self._refresh(room)
         return sequence, offset
 
-    def _opened(self) -> int:
+    def opened(self) -> int:
         self.used.append(0)
         self.cost.append(0.0)
         heappush(self.heaps[self.capacity], (0.0, len(self.used) - 1))
@@ -199,23 +220,12 @@ class _Sequences:
         return len(self.used) - 1
 
     def cheapest(self, size: int) -> int:
-        """The sequence of lowest cost with room for ``size``, opened if there is none."""
-        best, node = float("inf"), 0
+        """The sequence of lowest cost with room for ``size``, of equals the first; opened if there is none."""
+        best, node = _NONE, 0
         lo, hi = self.base + size, self.base + self.capacity + 1
         while lo < hi:
             for side in ([lo] if lo & 1 else []) + ([hi - 1] if hi & 1 else []):
                 if self.low[side] < best:
                     best, node = self.low[side], side
             lo, hi = (lo + 1) >> 1, hi >> 1
-        if not node:
-            return self._opened()
-        while node < self.base:
-            node = 2 * node if self.low[2 * node] == best else 2 * node + 1
-        return self.heaps[node - self.base][0][1]
-
-    def tightest(self, size: int) -> int:
-        """The sequence with the least room that holds ``size``, opened if there is none."""
-        for room in range(size, self.capacity + 1):
-            if self.heaps[room]:
-                return self.heaps[room][0][1]
-        return self._opened()
+        return best[1] if node else self.opened()

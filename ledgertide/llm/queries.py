@@ -48,10 +48,15 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
-    """Sequences of 2,048 tokens from all documents."""
+    """Sequences of 2,048 tokens from all documents, each piece placed by balanced cost."""
     return packed(table(spark, folder, "documents"), "doc_id", "text", 2048)
 
 
+def p6_tight(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the repair that moves placed pieces to save the last sequences."""
+    return packed(table(spark, folder, "documents"), "doc_id", "text", 2048, repair=True)
+
+
 def _mixed(spark: SparkSession, folder: str) -> Mix:
     return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
@@ -77,7 +82,7 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select("subject", "documents", (F.col("documents") / documents).alias("share"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_percentiles, p4_found, p6_packed, p7_mix, p7_shares, p8_found, p8_composition)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_percentiles, p4_found, p6_packed, p6_tight, p7_mix, p7_shares, p8_found, p8_composition)}
 
 _FILLS = """f AS (SELECT fill_key, any_value(coin) AS coin, CAST(any_value(fee) AS DOUBLE) AS fee, CAST(any_value(closed_pnl) AS DOUBLE) AS closed_pnl
       FROM raw_fills GROUP BY fill_key)"""

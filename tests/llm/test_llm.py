@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgertide.llm import mixing, subjects
 from ledgertide.llm.mixing import mix, split_quotas
 from ledgertide.llm.nearest import XFastTrie, nearest_in_time
-from ledgertide.llm.packing import cost_of, pack, packed
+from ledgertide.llm.packing import balanced, cost_of, pack, packed
 from ledgertide.llm.percentiles import partial_counts, percentiles
 from ledgertide.llm.tokens import counter, with_tokens
 
@@ -171,6 +171,38 @@ def test_packing_is_sound(sizes, capacity):
     assert len(used) <= 2 * -(-sum(sizes) // capacity) + 1
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=120))
+def test_every_size_is_placed_by_the_rule(sizes):
+    """The rule worked out by looking at every sequence for every size."""
+    got, used, cost = balanced(sizes, 64), [], []
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        fits = [s for s in range(len(used)) if used[s] + sizes[i] <= 64]
+        if not fits:
+            used, cost, fits = [*used, 0], [*cost, 0.0], [len(used)]
+        s = min(fits, key=lambda s: (cost[s], s))
+        assert got[i] == (s, used[s])
+        used[s], cost[s] = used[s] + sizes[i], cost[s] + cost_of(sizes[i])
+
+
+def test_the_rule_alone_wastes_little():
+    rng = random.Random(7)
+    sizes = [1 + int(2000 * rng.betavariate(2, 5)) for _ in range(5000)]
+    costs = defaultdict(float)
+    for (s, _), n in zip(balanced(sizes, 2048), sizes, strict=True):
+        costs[s] += cost_of(n)
+    even = sum(costs.values()) / len(costs)
+    assert sum(sizes) / (2048 * len(costs)) > 0.99 and sum((c - even) ** 2 for c in costs.values()) / len(costs) < (0.1 * even) ** 2
+
+
+def test_repaired_packing_holds_every_document(spark, data):
+    documents = spark.read.parquet(f"{data}/documents.parquet")
+    plain, tight = (packed(documents, "doc_id", "text", 2048, repair=r) for r in (False, True))
+    pieces = lambda df: Counter((r.doc_id, r.piece, r.n_tokens) for r in df.collect())
+    count = lambda df: df.select("sequence").distinct().count()
+    assert pieces(plain) == pieces(tight) and count(tight) <= count(plain)
+
+
 def test_packing_balances_costs():
     rng = random.Random(6)
     sizes = [1 + int(2000 * rng.betavariate(2, 5)) for _ in range(3000)]
