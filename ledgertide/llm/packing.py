@@ -19,7 +19,7 @@ QUADRATIC_AT = 4096
 SHARD_DOCUMENTS = 50_000
 
 
-def packed(documents: DataFrame, doc_id: str, text: str, capacity: int = 2048, vocabulary: str = VOCABULARY, repair: bool = False) -> DataFrame:
+def packed(documents: DataFrame, doc_id: str, text: str, capacity: int = 2048, vocabulary: str = VOCABULARY, repair: bool = True) -> DataFrame:
     """``(<doc_id>, piece, n_tokens, sequence, position, start)``: where each document goes.
 
     A document is one piece unless it is longer than ``capacity``; then it is cut into pieces of
@@ -28,7 +28,7 @@ def packed(documents: DataFrame, doc_id: str, text: str, capacity: int = 2048, v
 
     Only lengths are shuffled, never texts. The documents are dealt by the hash of their row into shards
     of about ``SHARD_DOCUMENTS``, whatever their ids or sizes, and each shard is packed in one task by
-    :func:`balanced`, or with ``repair`` by :func:`pack`; a shard leaves at most a few sequences half empty.
+    :func:`pack`, without ``repair`` by :func:`balanced`; a shard leaves at most a few sequences half empty.
 
     Each row is placed, rows that repeat a ``doc_id`` too. A null or empty text has no tokens and takes
     no place: it comes out as one piece with null ``sequence``, ``position`` and ``start``. No rows in,

@@ -49,12 +49,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences of 2,048 tokens from all documents, each piece placed by balanced cost."""
-    return packed(table(spark, folder, "documents"), "doc_id", "text", 2048)
+    return packed(table(spark, folder, "documents"), "doc_id", "text", 2048, repair=False)
 
 
 def p6_tight(spark: SparkSession, folder: str) -> DataFrame:
     """The same with the repair that moves placed pieces to save the last sequences."""
-    return packed(table(spark, folder, "documents"), "doc_id", "text", 2048, repair=True)
+    return packed(table(spark, folder, "documents"), "doc_id", "text", 2048)
 
 
 def _mixed(spark: SparkSession, folder: str) -> Mix:
