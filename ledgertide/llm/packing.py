@@ -92,16 +92,16 @@ def pack(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
     beyond the fewest, the least full ones, are dissolved and each other one keeps its longest size and
     gives up the others. They go back to close the sequences, the fullest first: the longest size while two
     don't suffice, then of the pairs that leave the least room the one that brings the sequence's cost
-    nearest to the even share of all costs; what is left goes by balanced cost. As the choice of pairs
-    also settles which sizes are left for later sequences, sizes that don't fit into the fewest sequences
-    are closed a second time with the most uneven of equal pairs. Of the three packings the one with the
-    fewest sequences stands, the first of equals.
+    nearest to the even share of all costs; what is left goes by balanced cost. As what is given up and
+    which pairs are taken settle which sizes are left for later sequences, sizes that don't fit into the
+    fewest sequences are tried again with only the three shortest given up, and with the most uneven of
+    equal pairs. Of all packings the one with the fewest sequences stands, the first of equals.
     """
     best = balanced(sizes, capacity)
     fewest, used = -(-sum(sizes) // capacity), len({s for s, _ in best})
-    for by_cost in (True, False):
+    for by_cost, kept in ((True, slice(1)), (True, slice(-3)), (False, slice(1)), (False, slice(-3))):
         if used > fewest:
-            moved = _repaired(sizes, capacity, best, fewest, by_cost)
+            moved = _repaired(sizes, capacity, best, fewest, by_cost, kept)
             count = len({s for s, _ in moved})
             best, used = (moved, count) if count < used else (best, used)
     return best
@@ -111,7 +111,7 @@ def _descending(sizes: list[int]) -> list[int]:
     return sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
 
 
-def _repaired(sizes: list[int], capacity: int, placed: list[tuple[int, int]], fewest: int, by_cost: bool) -> list[tuple[int, int]]:
+def _repaired(sizes: list[int], capacity: int, placed: list[tuple[int, int]], fewest: int, by_cost: bool, kept: slice) -> list[tuple[int, int]]:
     """The places after the repair that :func:`pack` describes."""
     held: dict[int, list[int]] = {}
     for i in _descending(sizes):
@@ -121,9 +121,10 @@ def _repaired(sizes: list[int], capacity: int, placed: list[tuple[int, int]], fe
     bins, at = _Sequences(capacity), [(0, 0)] * len(sizes)
     loose = [i for s in held.keys() - set(stay) for i in held[s]]
     for s in stay:
-        longest, *others = held[s]
-        at[longest] = bins.put(sizes[longest], bins.opened())
-        loose += others
+        own, stays = bins.opened(), held[s][kept]
+        for i in stays:
+            at[i] = bins.put(sizes[i], own)
+        loose += held[s][len(stays) :]
 
     even = sum(map(cost_of, sizes)) / fewest
     waiting: dict[int, list[int]] = {}
