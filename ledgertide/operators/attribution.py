@@ -82,8 +82,20 @@ def attributed(fills: DataFrame, logs: DataFrame | None, mode: str, builder: str
     )
 
 
-def completed(fills: DataFrame, stored: DataFrame) -> DataFrame:
+def attach(fills: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """``fills`` with ``attributed``, ``mode``, ``confidence`` and ``builder``: as stored, else by the fee.
+
+    The stored attributions are the only other table; no fill is looked up among fills.
+    """
+    paid = F.coalesce(F.col("builder_fee") > 0, F.lit(False))
+    if stored is None:
+        return fills.withColumns({"attributed": paid, "mode": F.lit("heuristic"), "confidence": F.lit("low"), "builder": F.lit(None).cast("string")})
+    have = one_per_fill(stored).withColumnRenamed("fill_key", "__of").withColumn("__is", F.lit(True))
+    rows = fills.join(have, F.col("fill_key") == F.col("__of"), "left")
+    by_fee = {"attributed": paid, "mode": F.lit("heuristic"), "confidence": F.lit("low"), "builder": F.col("builder")}
+    return rows.withColumns({c: F.when(F.col("__is"), F.col(c)).otherwise(v) for c, v in by_fee.items()}).drop("__of", "__is")
+
+
+def completed(fills: DataFrame, stored: DataFrame | None) -> DataFrame:
     """The stored attribution of each fill, or the heuristic one where none is stored."""
-    have = one_per_fill(stored)
-    missing = heuristic(fills.join(have.select("fill_key"), "fill_key", "left_anti"))
-    return have.join(fills.select("fill_key"), "fill_key", "left_semi").unionByName(missing)
+    return attach(fills, stored).select("fill_key", "attributed", "mode", "confidence", "builder")

@@ -6,15 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_written(df: DataFrame, key: str, order: str) -> DataFrame:
+def first_written(df: DataFrame, key: str, order: str, same: list[str] | None = None) -> DataFrame:
     """Of the rows of each key the one with the smallest ``order``: the first write wins.
 
     ``order`` is unique per key or its equals are equal in every column. Copies are folded within each
     task before the shuffle, so a key that is stored again and again costs one row per task. Rows with a
     null key are one key, as in SQL's DISTINCT. All columns are kept, in their order.
+
+    ``same`` names columns in which all rows of a key agree. If the others are of fixed width (numbers,
+    flags, dates), nothing is sorted: this runs as a hash aggregation. Without it whole rows are compared,
+    which sorts them. Where rows of a key don't agree after all, each of their values has a first write.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.groupBy(F.col(key).alias("__key")).agg(F.min_by(whole, F.struct(order)).alias("__row")).select("__row.*")
+    if same is None:
+        whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        return df.groupBy(F.col(key).alias("__key")).agg(F.min_by(whole, F.struct(order)).alias("__row")).select("__row.*")
+    others = [c for c in df.columns if c != key and c not in same]
+    first = df.groupBy(key, *same).agg(*[F.min(order).alias(c) if c == order else F.min_by(c, order).alias(c) for c in others])
+    return first.select(*df.columns)
 
 
 def last_written(df: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -22,6 +22,22 @@ def latest_snapshot(snapshots: DataFrame, at_ms: int) -> DataFrame:
     return rows.groupBy("user").agg(F.max_by("equity", F.struct("time_ms", "id")).cast(TOTAL).alias("equity"))
 
 
+def at_opening(deposits: DataFrame, at_ms: int | None) -> DataFrame:
+    """``(user, opening, paid)``: what each wallet had paid in up to and at ``at_ms``, or without one at its first deposit."""
+    if at_ms is not None:
+        paid = F.sum(F.when(F.col("time_ms") <= at_ms, F.col("amount")))
+        return deposits.groupBy("user").agg(F.lit(at_ms).cast("long").alias("opening"), F.coalesce(paid, F.lit(0)).cast(TOTAL).alias("paid"))
+    by_time = deposits.groupBy("user", "time_ms").agg(F.sum("amount").cast(TOTAL).alias("paid"))
+    return by_time.groupBy("user").agg(F.min("time_ms").alias("opening"), F.min_by("paid", "time_ms").alias("paid"))
+
+
+def snapshot_of_each(asked: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``(user, equity)`` of the latest snapshot at or before each wallet's ``at_ms``; a wallet is asked for once."""
+    at = asked.select(F.col("user").alias("of_user"), "at_ms")
+    rows = snapshots.join(at, (F.col("user") == F.col("of_user")) & (F.col("time_ms") <= F.col("at_ms")))
+    return rows.groupBy("user").agg(F.max_by("equity", F.struct("time_ms", "id")).cast(TOTAL).alias("equity"))
+
+
 def at_time(snapshots: DataFrame | None, deposits: DataFrame, effects: DataFrame, at_ms: int) -> DataFrame:
     """The latest snapshot where a user has one, else the derived equity."""
     otherwise = derived(deposits, effects, at_ms)

@@ -21,23 +21,34 @@ def with_slice(df: DataFrame, keys: list[str], time: str, width: int = SLICE_MS)
     return df.withColumn("__key", F.struct(*keys)).withColumn("__slice", F.floor(F.col(time) / width))
 
 
+def in_slice(*order: str) -> WindowSpec:
+    return Window.partitionBy("__key", "__slice").orderBy(*order)
+
+
 def upto_here(*order: str) -> WindowSpec:
     """Within the slice, the rows up to the current one."""
-    return Window.partitionBy("__key", "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return in_slice(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def before_here(*order: str) -> WindowSpec:
-    return Window.partitionBy("__key", "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return in_slice(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def carried(df: DataFrame, fold: dict[str, Column], hand_on: dict[str, Column]) -> DataFrame:
+def carried(df: DataFrame, fold: dict[str, Column | str], hand_on: dict[str, Column], of: Column | None = None) -> DataFrame:
     """``df`` with what reaches its slice from the entity's earlier slices.
 
     ``fold`` aggregates a slice into columns; ``hand_on`` are aggregates over those columns that, taken
-    over all earlier slices, become columns of ``df`` (null in an entity's first slice).
+    over all earlier slices, become columns of ``df`` (null in an entity's first slice). With ``of``, one
+    row per slice, the rows it is true of, stand for their slices, and nothing has to be aggregated.
+
+    The slices' side has a row per slice, never more than ``df``; its parts are hashed for the join, so
+    the rows of ``df`` are neither sorted for it nor, where they are partitioned by entity and slice, moved.
     """
     earlier = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = df.groupBy("__key", "__slice").agg(*[c.alias(n) for n, c in fold.items()])
+    if of is None:
+        slices = df.groupBy("__key", "__slice").agg(*[c.alias(n) for n, c in fold.items()])
+    else:
+        slices = df.where(of).select("__key", "__slice", *[F.col(c).alias(n) for n, c in fold.items()])
     slices = slices.select(F.col("__key").alias("__key2"), F.col("__slice").alias("__slice2"), *[c.over(earlier).alias(n) for n, c in hand_on.items()])
     same = (df["__key"] == slices["__key2"]) & (df["__slice"] == slices["__slice2"])
-    return df.join(slices, same).drop("__key2", "__slice2")
+    return df.join(slices.hint("shuffle_hash"), same).drop("__key2", "__slice2")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ledgertide.operators import attribution, equity, positions
 from ledgertide.operators.dedup import new_rows
 from ledgertide.plans import reports
 from ledgertide.plans.reports import Ledger
-from ledgertide.schema import NOTIONAL, TOTAL
+from ledgertide.schema import MONEY, NOTIONAL, TOTAL
 from ledgertide.sources import feeds
 from ledgertide.sources.tables import table
 
@@ -43,13 +44,12 @@ def ledger(spark: SparkSession, folder: str) -> Ledger:
 
 @query
 def fill_dedup(t: Ledger) -> DataFrame:
-    return t.fills
+    return t.first_fills()
 
 
 @query
 def trades_ordered(t: Ledger) -> DataFrame:
-    rows = reports.trades(t)
-    return rows.select(*[c for c in rows.columns if c != "builder"]).orderBy("time_ms", "tid", "oid", "fill_key")
+    return reports.trades(t, with_builder=False).orderBy("time_ms", "tid", "oid", "fill_key")
 
 
 @query
@@ -62,6 +62,12 @@ def trades_builder_only(t: Ledger) -> DataFrame:
     return reports.trades(t, builder_only=True).select("user", "fill_key", "builder", "tainted")
 
 
+@query
+def trades_taint(t: Ledger) -> DataFrame:
+    """Whether each wallet's listing of attributed fills leaves any out."""
+    return reports.trades_taint(t, from_ms=FROM_MS, to_ms=TO_MS)
+
+
 @query
 def fill_keys_tid(t: Ledger) -> DataFrame:
     return t.raw_fills.where(F.col("tid").isNotNull()).select("id", keys.fill_key().alias("key"))
@@ -101,7 +107,7 @@ def incremental_append(t: Ledger) -> DataFrame:
 
 @query
 def position_net(t: Ledger) -> DataFrame:
-    return positions.transitions(t.fills).select("fill_key", "user", "coin", F.col("prev").cast(TOTAL).alias("prev"), F.col("net").cast(TOTAL).alias("net"))
+    return positions.transitions(t.fills, with_openers=False).select("fill_key", "user", "coin", F.col("prev").cast(TOTAL).alias("prev"), F.col("net").cast(TOTAL).alias("net"))
 
 
 @query
@@ -111,23 +117,25 @@ def position_transitions(t: Ledger) -> DataFrame:
 
 @query
 def transition_counts(t: Ledger) -> DataFrame:
-    return positions.transitions(t.fills).groupBy("kind").agg(F.count(F.lit(1)).alias("fills"))
+    return positions.transitions(t.fills, with_openers=False).groupBy("kind").agg(F.count(F.lit(1)).alias("fills"))
 
 
 @query
 def lifecycles(t: Ledger) -> DataFrame:
-    return positions.lifecycles(positions.transitions(t.fills))
+    return positions.lifecycles(t.moves)
 
 
 @query
 def effects_flip_split(t: Ledger) -> DataFrame:
-    return positions.effects(positions.transitions(t.fills)).select("fill_key", "effect_type", "lifecycle_id", "qty", F.col("notional").cast(NOTIONAL).alias("notional"), "fee", "closed_pnl")
+    return t.effects.select("fill_key", "effect_type", "lifecycle_id", "qty", F.col("notional").cast(NOTIONAL).alias("notional"), "fee", "closed_pnl")
 
 
 @query
 def snapshots_avg_entry(t: Ledger) -> DataFrame:
-    """Not in SQL: the average is a recurrence in 28-digit decimals; tested against a sequential tracker."""
-    return positions.snapshots(positions.transitions(t.fills))
+    """The average is cut to six digits, a little off the half, so that no price with few digits lies on an edge."""
+    rows = positions.snapshots(t.moves)
+    cut = F.floor((F.col("avg_entry_px") + F.lit(Decimal("0.000000318309"))) * 1_000_000).cast("decimal(28,0)") * F.lit(Decimal("0.000001"))
+    return rows.select("user", "coin", "time_ms", "seq", F.col("net_size").cast(TOTAL).alias("net_size"), cut.cast("decimal(28,6)").alias("avg_entry_px"), "lifecycle_id", "fill_key")
 
 
 @query
@@ -142,6 +150,12 @@ def snapshots_builder_only(t: Ledger) -> DataFrame:
     return rows.select("user", "coin", "time_ms", "seq", F.col("net_size").cast(TOTAL).alias("net_size"), "lifecycle_id")
 
 
+@query
+def snapshots_taint(t: Ledger) -> DataFrame:
+    """Whether each wallet's listing of clean lifecycles leaves any snapshot out."""
+    return reports.history_taint(t, from_ms=FROM_MS, to_ms=TO_MS)
+
+
 # --- profit and leaderboards
 
 
@@ -155,6 +169,19 @@ def pnl_net(t: Ledger) -> DataFrame:
     return reports.pnl(t, from_ms=0, pnl_mode="net").drop("return_pct")
 
 
+@query
+def pnl_all_wallets(t: Ledger) -> DataFrame:
+    """From each wallet's first deposit; wallets without effects have zeros."""
+    return reports.pnl(t, to_ms=TO_MS, users=t.wallets())
+
+
+def pnl_with_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """The starting equity is the latest reading where there is one; about a third of the wallets have none."""
+    t = ledger(spark, folder)
+    t.equity_snapshots = _readings(t, early=True).where(F.sha2("user", 256) >= "5")
+    return reports.pnl(t)
+
+
 @query
 def pnl_window(t: Ledger) -> DataFrame:
     return reports.pnl(t, from_ms=FROM_MS, to_ms=TO_MS, max_start_capital=CAP)
@@ -220,6 +247,7 @@ def attribution_window(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {
+    "pnl_with_snapshots": pnl_with_snapshots,
     "attribution_window": attribution_window,
     "attribution_exact": attribution_exact,
     "attribution_fuzzy": lambda spark, folder: attribution.fuzzy_matches(ledger(spark, folder).fills, table(spark, folder, "builder_logs")),
@@ -251,6 +279,12 @@ def deposits_total(t: Ledger) -> DataFrame:
     return reports.deposit_totals(t)
 
 
+@query
+def deposits_total_all(t: Ledger) -> DataFrame:
+    """Of a window, for every wallet, zeros included."""
+    return reports.deposit_totals(t, from_ms=FROM_MS, to_ms=TO_MS, users=t.wallets())
+
+
 @query
 def earliest_deposit(t: Ledger) -> DataFrame:
     return t.deposits.groupBy("user").agg(F.min("time_ms").alias("first_ms"))
@@ -261,8 +295,12 @@ def equity_derived(t: Ledger) -> DataFrame:
     return equity.derived(t.deposits, t.effects, FROM_MS)
 
 
-def _readings(t: Ledger) -> DataFrame:
-    """Each deposit's amount as if it were a reading of the equity."""
+def _readings(t: Ledger, early: bool = False) -> DataFrame:
+    """Each deposit's amount as if it were a reading of the equity; ``early``, some time before it, by its key."""
+    if early:
+        at = F.col("time_ms") - 600_000 * (F.ascii(F.sha2("event_key", 256)) - 47)
+        rows = t.deposits.select("user", at.cast("long").alias("time_ms"), F.col("time_ms").alias("id"), (F.col("amount") + 1).cast(MONEY).alias("equity"))
+        return rows.groupBy("user", "time_ms", "id").agg(F.max("equity").alias("equity"))
     return t.deposits.groupBy("user", "time_ms").agg(F.max("amount").alias("equity")).withColumn("id", F.lit(0).cast("long"))
 
 

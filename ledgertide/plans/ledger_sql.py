@@ -124,6 +124,14 @@ _SNAPSHOTS = f"""ss AS (SELECT "user", coin, time_ms, 0 AS seq, CAST(net AS DECI
        UNION ALL SELECT "user", coin, time_ms, 1, CAST(net AS DECIMAL(38,8)), opener, fill_key FROM m WHERE kind = 'flip'),
 sn AS (SELECT "user", coin, time_ms, CAST(seq AS INTEGER) AS seq, net_size, {_lifecycle_id("lc")} AS lifecycle_id, fill_key FROM ss)"""
 
+# the average in 10^-15, folded row by row; integers, as quotients of decimals are floating-point here
+_AVERAGES = f"""RECURSIVE {M_}, {_SNAPSHOTS},
+y AS (SELECT fill_key, opener, kind, abs({_UNITS("prev")}) AS pu, abs({_UNITS("net")}) AS nu, {_UNITS("px")} AS xu,
+             row_number() OVER (PARTITION BY "user", coin, opener ORDER BY time_ms, tid NULLS FIRST, oid NULLS FIRST, fill_key) AS i FROM m WHERE kind <> 'none'),
+v AS (SELECT fill_key, opener, i, xu * 10000000 AS average FROM y WHERE i = 1
+      UNION ALL SELECT y.fill_key, y.opener, y.i, CASE y.kind WHEN 'increase' THEN (pu * average + (nu - pu) * xu * 10000000) // nu WHEN 'close' THEN 0 ELSE average END
+      FROM v JOIN y ON y.opener = v.opener AND y.i = v.i + 1)"""
+
 _FUZZY = f"""l AS (SELECT lower("user") AS u, upper(coin) AS c, side, day, time_ms AS t, px, sz FROM builder_logs),
 z AS (SELECT DISTINCT fill_key FROM f JOIN l ON lower(f."user") = l.u AND upper(f.coin) = l.c AND f.side = l.side AND {_DAY} = l.day
       AND abs(f.time_ms - l.t) <= 1000 AND abs(f.px - l.px) <= 0.000001 AND abs(f.sz - l.sz) <= 0.000001)"""
@@ -136,6 +144,7 @@ SQL = {
     "trades_with_builder": f"WITH {F_}, {A_} SELECT fill_key, CASE WHEN attributed AND mode = 'logs' THEN builder END AS builder FROM f JOIN a USING (fill_key) WHERE {_WINDOW}",
     "trades_builder_only": f"""WITH {F_}, {A_}, w AS (SELECT f."user", fill_key, attributed, mode, builder, bool_or(NOT attributed) OVER (PARTITION BY f."user") AS tainted FROM f JOIN a USING (fill_key))
 SELECT "user", fill_key, CASE WHEN mode = 'logs' THEN builder END AS builder, tainted FROM w WHERE attributed""",
+    "trades_taint": f"""WITH {F_}, {A_} SELECT "user", bool_or(NOT attributed) AS tainted FROM f JOIN a USING (fill_key) WHERE {_WINDOW} GROUP BY "user" """,
     "fill_keys_tid": """SELECT id, "user" || ':' || coin || ':tid:' || tid AS key FROM raw_fills WHERE tid IS NOT NULL""",
     "fill_keys_hash": f"SELECT id, {_FILL_HASH} AS key FROM raw_fills",
     "event_keys": f"""SELECT key, count(*) AS n FROM (SELECT coalesce(nullif(lower(trim(tx_hash)), ''), {_EVENT_HASH}) AS key FROM deposits
@@ -152,6 +161,10 @@ q AS (SELECT "user", coin, opener AS lc, time_ms AS s, NULL AS e FROM m WHERE ki
       UNION ALL SELECT "user", coin, coalesce(closer, opener), NULL, time_ms FROM m WHERE kind IN ('close', 'flip'))
 SELECT {_lifecycle_id("lc")} AS id, "user", coin, max(s) AS start_time_ms, CAST(max(e) AS BIGINT) AS end_time_ms FROM q GROUP BY "user", coin, lc""",
     "effects_flip_split": f"WITH {E_} SELECT fill_key, effect_type, lifecycle_id, qty, notional, fee, closed_pnl FROM e",
+    "snapshots_avg_entry": f"""WITH {_AVERAGES}
+SELECT "user", coin, time_ms, seq, net_size, CAST(CAST((CASE WHEN net_size = 0 THEN 0 ELSE average END + 318309000) // 1000000000 AS DECIMAL(28,0)) * 0.000001 AS DECIMAL(28,6)) AS avg_entry_px,
+       lifecycle_id, fill_key FROM sn JOIN v USING (fill_key)""",
+    "snapshots_taint": f"""WITH {T_}, {_SNAPSHOTS} SELECT "user", bool_or(is_tainted) AS tainted FROM sn JOIN t USING (lifecycle_id, "user", coin) WHERE {_WINDOW} GROUP BY "user" """,
     "snapshots_net": f"WITH {M_}, {_SNAPSHOTS} SELECT * FROM sn WHERE {_WINDOW}",
     "snapshots_builder_only": f"""WITH {T_}, {_SNAPSHOTS} SELECT "user", coin, time_ms, seq, net_size, lifecycle_id FROM sn JOIN t USING (lifecycle_id, "user", coin) WHERE NOT is_tainted""",
     "pnl_gross": _pnl(
@@ -160,6 +173,19 @@ SELECT {_lifecycle_id("lc")} AS id, "user", coin, max(s) AS start_time_ms, CAST(
         more=_FIRST,
     ).replace("FROM g", 'FROM g LEFT JOIN eq USING ("user")'),
     "pnl_net": _pnl("true", '"user", CAST(pnl - fees_paid AS DECIMAL(38,8)) AS realized_pnl, fees_paid, trade_count, tainted'),
+    "pnl_all_wallets": f"""WITH {T_}, {D_}{_FIRST},
+g AS (SELECT e."user", sum(closed_pnl) AS pnl, sum(fee) AS fees, count(*) AS n FROM e LEFT JOIN fd ON fd."user" = e."user"
+      WHERE time_ms BETWEEN coalesce(first_ms, 0) AND {TO_MS} GROUP BY 1),
+z AS (SELECT u."user", CAST(coalesce(pnl, 0) AS DECIMAL(38,8)) AS pnl, CAST(coalesce(fees, 0) AS DECIMAL(38,8)) AS fees, coalesce(n, 0) AS n, coalesce(equity, 0) AS equity
+      FROM (SELECT "user" FROM raw_fills UNION SELECT "user" FROM deposits) u LEFT JOIN g USING ("user") LEFT JOIN eq USING ("user"))
+SELECT "user", pnl AS realized_pnl, fees AS fees_paid, n AS trade_count, {_return("pnl", "equity")} AS return_pct, false AS tainted FROM z""",
+    "pnl_with_snapshots": f"""WITH {T_}, {D_}{_FIRST},
+r AS (SELECT "user", time_ms AS id, time_ms - 600000 * (ascii(sha256(event_key)) - 47) AS seen_ms, max(amount) + 1 AS reading FROM d WHERE sha256("user") >= '5' GROUP BY ALL),
+rs AS (SELECT r."user", arg_max(reading, (seen_ms, id)) AS reading FROM r JOIN fd ON r."user" = fd."user" AND r.seen_ms <= first_ms GROUP BY 1),
+g AS (SELECT e."user", CAST(sum(closed_pnl) AS DECIMAL(38,8)) AS pnl, CAST(sum(fee) AS DECIMAL(38,8)) AS fees, count(*) AS n FROM e LEFT JOIN fd ON fd."user" = e."user"
+      WHERE time_ms >= coalesce(first_ms, 0) GROUP BY 1)
+SELECT g."user", pnl AS realized_pnl, fees AS fees_paid, n AS trade_count, {_return("pnl", "coalesce(reading, equity, 0)")} AS return_pct, false AS tainted
+FROM g LEFT JOIN eq USING ("user") LEFT JOIN rs USING ("user")""",
     "pnl_window": _pnl(
         _WINDOW,
         f'"user", pnl AS realized_pnl, fees_paid, trade_count, {_return("pnl", f"least(coalesce(equity, 0), {CAP})")} AS return_pct, tainted',
@@ -184,6 +210,8 @@ CASE WHEN z.fill_key IS NOT NULL THEN '{BUILDER}' END AS builder FROM f LEFT JOI
     "taint_reason": f'WITH {T_} SELECT lifecycle_id, "user", coin, taint_reason FROM t WHERE is_tainted',
     "deposits_window": f'WITH {D_} SELECT "user", time_ms, amount, tx_hash, event_key FROM d WHERE {_WINDOW}',
     "deposits_total": f'WITH {D_} SELECT "user", CAST(sum(amount) AS DECIMAL(38,8)) AS total_deposits, count(*) AS deposit_count FROM d GROUP BY 1',
+    "deposits_total_all": f"""WITH {D_} SELECT u."user", CAST(coalesce(sum(amount), 0) AS DECIMAL(38,8)) AS total_deposits, count(amount) AS deposit_count
+FROM (SELECT "user" FROM raw_fills UNION SELECT "user" FROM deposits) u LEFT JOIN (SELECT * FROM d WHERE {_WINDOW}) w USING ("user") GROUP BY 1""",
     "earliest_deposit": f'WITH {D_} SELECT "user", min(time_ms) AS first_ms FROM d GROUP BY 1',
     "equity_derived": f'WITH {E_}, {D_}{_AT} SELECT "user", CAST(equity AS DECIMAL(38,8)) AS equity FROM eq',
     "equity_snapshot": f"""WITH {D_} SELECT "user", CAST(max(amount) AS DECIMAL(38,8)) AS equity FROM (SELECT *, rank() OVER (PARTITION BY "user" ORDER BY time_ms DESC) AS r

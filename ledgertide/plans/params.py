@@ -9,19 +9,54 @@ MAX_MS = 2**63 - 1
 METRICS = ("volume", "pnl", "returnpct")
 
 
-class BadRequest(ValueError):
-    """A parameter that can't be used."""
+class RequestError(Exception):
+    """A request that can't be answered, with the status it is answered with."""
+
+    status = 500
 
     def body(self) -> dict[str, str]:
         return {"error": str(self)}
 
 
+class BadRequest(RequestError, ValueError):
+    """A parameter that can't be used."""
+
+    status = 400
+
+
+class NotFound(RequestError, LookupError):
+    """Something named in the request that isn't there."""
+
+    status = 404
+
+
+class Internal(RequestError, RuntimeError):
+    """Anything that isn't the request's fault."""
+
+
+def error_answer(error: Exception) -> tuple[int, dict[str, str]]:
+    """Status and body for any error; one that isn't a RequestError is internal."""
+    known = error if isinstance(error, RequestError) else Internal(str(error))
+    return known.status, known.body()
+
+
 def address(value: str) -> str:
     if not re.fullmatch(r"0x[0-9a-fA-F]{40}", value or ""):
         raise BadRequest(f"invalid address: {value!r}")
     return value
 
 
+def optional_address(value: str | None) -> str | None:
+    return None if value is None else address(value)
+
+
+def wallet_like(value: str) -> str:
+    """The weaker check of risk requests: prefix and length only."""
+    if not (value or "").startswith("0x") or len(value.encode()) != 42:
+        raise BadRequest(f"invalid address: {value!r}")
+    return value
+
+
 def window(from_ms: int | None, to_ms: int | None, ordered: bool = True) -> tuple[int, int]:
     """Both ends inclusive. Trade listings don't insist on the order of the ends."""
     lo, hi = 0 if from_ms is None else from_ms, MAX_MS if to_ms is None else to_ms
@@ -52,9 +87,12 @@ def capital(value: str | None) -> Decimal | None:
     if value is None:
         return None
     try:
-        return Decimal(value)
+        number = Decimal(value)
     except InvalidOperation as e:
         raise BadRequest(f"invalid maxStartCapital {value!r}") from e
+    if not number.is_finite():
+        raise BadRequest(f"invalid maxStartCapital {value!r}")
+    return number
 
 
 def user_list(text: str) -> list[str]:

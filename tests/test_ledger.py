@@ -401,3 +401,42 @@ def test_ingest_after_a_job_that_died(spark, tmp_path, monkeypatch, dies_in):
     written = lambda: sorted(p.name for p in (tmp_path / "died" / "snapshots").rglob("*.parquet"))
     before = written()
     assert compile.ingest(df(rows[:9]), folder, buckets=4) == 0 and written() == before
+
+
+def test_replaced_tables_stand_together(spark, tmp_path, monkeypatch):
+    rows = random_fills(17, 90)
+    df = lambda part: spark.createDataFrame(part, STORED)
+    folder = str(tmp_path / "died")
+    compile.ingest(df(rows[:40]), folder, buckets=4)
+    moved = []
+
+    def fails(fs, source, target):
+        moved.append(str(target))
+        if len(moved) == 5:  # the file that says they stand, then four partitions
+            raise OSError("gone")
+        real(fs, source, target)
+
+    real = sinks._rename
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_rename", fails)
+        with pytest.raises(OSError):
+            compile.ingest(df(rows), folder, buckets=4)
+    compile.ingest(df(rows), str(tmp_path / "whole"), buckets=4)
+    for name in ("lifecycles", "effects", "snapshots"):
+        a, b = (Counter(map(tuple, compile.compiled_table(spark, d, name).collect())) for d in (folder, str(tmp_path / "whole")))
+        assert a == b and a
+    assert not [p for p in (tmp_path / "died").iterdir() if p.name.startswith("_")]
+    state = compile.compiled_table(spark, folder, "compiled").collect()
+    assert {r.version for r in state} == {2} and max(r.until_ms for r in state) == max(r[3] for r in rows)
+    (tmp_path / "died" / "_aside-x" / "effects" / "bucket=0").mkdir(parents=True)  # of a job that died before its tables stood
+    assert compile.compiled_table(spark, folder, "effects").count() == compile.compiled_table(spark, str(tmp_path / "whole"), "effects").count()
+    assert not (tmp_path / "died" / "_aside-x").exists()
+
+
+def test_compile_reads_only_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "fills")
+    df = spark.createDataFrame(random_fills(3, 50), STORED).withColumn("bucket", compile.bucket(4))
+    assert sinks.append_new(df, path, "fill_key", "id", "bucket") == 50
+    plan = sinks.stored(spark, path).where(F.col("bucket").isin([1]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+    assert sinks.append_new(df.limit(20), path, "fill_key", "id", "bucket") == 0
