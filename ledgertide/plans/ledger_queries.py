@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgertide.functions import keys
@@ -337,3 +337,59 @@ def risk_parse(t: Ledger) -> DataFrame:
     last = t.moves.groupBy("user", "coin").agg(F.max_by("net", F.struct("time_ms", "tid", "oid", "fill_key")).alias("szi"), F.max_by("px", F.struct("time_ms", "tid", "oid", "fill_key")).alias("px"))
     report = last.groupBy("user").agg(feeds.risk_as_json().alias("report"))
     return feeds.risk_positions(report, "report").select("user", "coin", "size", "entry_px", "leverage")
+
+
+# --- records of which some can't be read
+
+
+def _spoilt(record: Column, by: Column, ways: list[Column]) -> Column:
+    """``record``, of every tenth row in each of ``ways`` instead; ``by`` deals the rows."""
+    out = record
+    for i, way in enumerate(ways):
+        out = F.when(F.pmod(by, F.lit(10)) == i, way).otherwise(out)
+    return out
+
+
+@query
+def json_fills_mixed(t: Ledger) -> DataFrame:
+    """Half of the records are spoilt, each tenth in its own way, and skipped; a bad builder fee is only left out."""
+    record = feeds.fill_as_json()
+    swap = lambda old, new: F.regexp_replace(record, old, new)
+    ways = [swap('"side":"."', '"side":"X"'), swap('"px":"[^"]*",', ""), swap('"sz":"[^"]*"', '"sz":"1e3"'), swap('"time":', '"at":'), F.substring(record, 1, 20), swap('"builderFee":"[^"]*"', '"builderFee":"none"')]
+    text = t.raw_fills.select("user", "coin", "id", _spoilt(record, F.col("id"), ways).alias("record"))
+    return feeds.parsed_fills(text, "record").select("id", "user", "coin", "time_ms", "side", "px", "sz", "fee", "closed_pnl", "builder_fee", "tid", "oid")
+
+
+@query
+def json_deposits_mixed(t: Ledger) -> DataFrame:
+    """Every shape a deposit comes in, and shapes that are no deposit, dealt by time."""
+    amount, time, quote = F.col("amount").cast("string"), F.col("time_ms").cast("string"), F.lit('"')
+    shape = lambda *parts: F.concat(F.lit('{"time":'), time, F.lit(","), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("}"))
+    ways = [
+        shape('"delta":', quote, amount, quote),
+        shape('"amount":', quote, amount, quote),
+        shape('"type":"transfer","amount":', quote, amount, quote),
+        shape('"delta":{"usdc":', quote, amount, quote, "}"),
+        shape('"delta":{"type":"transfer","usdc":', quote, amount, quote, "}"),
+        shape('"delta":{"type":"deposit"},"amount":', quote, amount, quote),
+        shape('"amount":', amount),
+        shape('"delta":null,"amount":', quote, amount, quote),
+        F.replace(shape('"amount":', quote, amount, quote), F.lit('"time":'), F.lit('"time":"",  "at":')),
+    ]
+    text = t.deposits.select("user", _spoilt(feeds.deposit_as_json(), F.col("time_ms"), ways).alias("record"))
+    return feeds.parsed_deposits(text, "record").select("user", "time_ms", "amount", "tx_hash", "event_key")
+
+
+@query
+def risk_mixed(t: Ledger) -> DataFrame:
+    """Margin reports of deposits, some without a summary, some with positions that can't be read."""
+    amount = F.col("amount").cast("string")
+    position = lambda size, more="": F.concat(F.lit('{"position":{"coin":"A","szi":"'), size, F.lit('"' + more + "}}"))
+    entries = F.concat_ws(",", position(amount, ',"leverage":{"type":"cross","value":"7"},"entryPx":"2.5"'), position(F.lit("0.00")), position(F.lit("many")), F.lit('{"x":1}'), position(F.lit("-1"), ',"leverage":"3"'))
+    report = F.concat(F.lit('{"marginSummary":{"accountValue":"'), amount, F.lit('"},"withdrawable":"9","assetPositions":['), entries, F.lit("]}"))
+    report = _spoilt(report, F.col("time_ms"), [F.replace(report, F.lit("marginSummary"), F.lit("summary")), F.lit("broken"), F.replace(report, F.lit("assetPositions"), F.lit("positions"))])
+    rows = reports.risk(t.deposits.select(F.concat_ws(" ", "user", "event_key").alias("user"), report.alias("report")), "report")
+    one = F.when(F.size("positions") > 0, F.col("positions")).otherwise(F.array(F.lit(None).cast(rows.schema["positions"].dataType.elementType)))
+    return rows.select("user", "summary.account_value", "summary.withdrawable", F.explode(one).alias("p")).select(
+        "user", "account_value", "withdrawable", F.col("p.coin").alias("coin"), F.col("p.size").alias("size"), F.col("p.entry_px").alias("entry_px"), F.col("p.leverage").alias("leverage")
+    )

@@ -224,3 +224,12 @@ SELECT fill_key, CAST(r.amount AS DECIMAL(38,8)) AS equity FROM f ASOF LEFT JOIN
 SELECT "user", coin, CAST(net AS DECIMAL(18,8)) AS size, {_text("px")} AS entry_px, '20' AS leverage FROM z WHERE r = 1 AND net <> 0""",
 }
 SQL["attribution_window"] = SQL["attribution_auto"] + f" WHERE {_WINDOW}"
+SQL["json_fills_mixed"] = """SELECT id, "user", coin, time_ms, side, px, sz, fee, closed_pnl, CASE WHEN id % 10 <> 5 THEN builder_fee END AS builder_fee, tid, oid
+FROM raw_fills WHERE id % 10 > 4"""
+SQL["json_deposits_mixed"] = f"""WITH {D_}, k AS (SELECT "user", time_ms, amount, CASE WHEN time_ms % 10 = 9 THEN tx_hash END AS tx_hash FROM d WHERE time_ms % 10 IN (0, 1, 2, 3, 9))
+SELECT *, coalesce(tx_hash, {_EVENT_HASH}) AS event_key FROM k"""
+SQL["risk_mixed"] = f"""WITH {D_}, k AS (SELECT "user" || ' ' || event_key AS "user", amount, time_ms % 10 AS way FROM d WHERE time_ms % 10 NOT IN (0, 1)),
+p AS (SELECT "user", amount, 'A' AS coin, CAST(amount AS DECIMAL(18,8)) AS size, '2.5' AS entry_px, '7' AS leverage FROM k WHERE way <> 2 AND amount <> 0
+      UNION ALL SELECT "user", amount, 'A', -1, '0', '3' FROM k WHERE way <> 2
+      UNION ALL SELECT "user", amount, NULL, NULL, NULL, NULL FROM k WHERE way = 2)
+SELECT "user", CAST(amount AS VARCHAR) AS account_value, '9' AS withdrawable, coin, size, entry_px, leverage FROM p"""

@@ -18,7 +18,7 @@ from ledgertide.operators import attribution, equity, positions, taint
 from ledgertide.plans import api, compile, params, reports
 from ledgertide.plans.reports import Ledger
 from ledgertide.schema import BUILDER_LOGS, DEPOSITS, EQUITY_SNAPSHOTS, FILLS
-from ledgertide.sources import feeds, sinks
+from ledgertide.sources import feeds, sinks, source, tables
 
 STORED = "id long, " + FILLS
 A, B, C = ("0x" + f"{i:040x}" for i in (1, 2, 3))
@@ -356,6 +356,99 @@ def test_builder_csv(spark, tmp_path):
             feeds.builder_log_csv(spark, str(tmp_path / "b")).collect()
 
 
+def test_builder_csv_by_each_files_header(spark, tmp_path):
+    folder = tmp_path / "0xb"
+    folder.mkdir()
+    (folder / "20231114.csv").write_text("time,user,coin,side,px,sz\n2023-11-14T16:53:20.000Z,0xabc,BTC,A,1.5,2\n")
+    (folder / "20231115.csv").write_text('sz,px,x,side,"coin",user,time,x\n2,1.5,,ask,"K""\n,X",0xdef,2023-11-15T16:53:20.001Z,7\n')
+    (folder / "20231116.csv").write_text("time,user,coin,side,px,sz\n")
+    got = sorted((r.day, r.user, r.coin, r.side, r.px, r.sz) for r in feeds.builder_log_csv(spark, str(tmp_path)).collect())
+    assert got == [("20231114", "0xabc", "BTC", "buy", D("1.5"), 2), ("20231115", "0xdef", 'K"\n,X', "sell", D("1.5"), 2)]
+    (folder / "20231116.csv").write_text("time,user,coin,side,px,sz\n2023-11-14T16:53:20.000Z,0xabc,BTC,A,1.5\n")
+    with pytest.raises(Exception):
+        feeds.builder_log_csv(spark, str(tmp_path)).select("user").collect()
+    (folder / "20231116.csv").write_text("time,user,coin,side,px\n")
+    with pytest.raises(ValueError, match="no column sz"):
+        feeds.builder_log_csv(spark, str(tmp_path))
+
+
+def test_builder_days_are_read_alone(spark, tmp_path):
+    for name, px in (("0xb/20231114.csv", 1), ("0xb/20231115.csv", 2), ("0xc/20231114.csv", 3)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f"time,user,coin,side,px,sz\n2023-11-14T16:53:20.000Z,0xabc,BTC,A,{px},2\n")
+        for _ in range(2):  # storing a day again changes nothing
+            feeds.store_builder_day(spark, str(tmp_path / name), str(tmp_path / "logs"))
+    rows = feeds.builder_logs(spark, str(tmp_path / "logs"), "0xb", "20231115")
+    assert [(r.builder, r.day, r.px) for r in rows.collect()] == [("0xb", "20231115", 2)]
+    assert "PartitionFilters: [isnotnull(builder" in rows._jdf.queryExecution().executedPlan().toString()
+    assert feeds.builder_logs(spark, str(tmp_path / "logs")).count() == 3
+
+
+def test_deposit_shapes(spark):
+    shapes = {
+        '{"time":1,"type":"transfer","amount":"5"}': 5, '{"time":1,"delta":{"type":"deposit"},"amount":"7"}': None, '{"time":1,"amount":9}': None,
+        '{"time":1,"delta":3}': None, '{"time":"1","amount":"2"}': None, '{"time":1,"amount":"1e2"}': None, '{"time":1,"delta":" 4"}': None, '{"time":1,"delta":{"usdc":"6"}}': 6,
+        '{"time":1,"delta":{"type":"other","usdc":"6"}}': None, "[]": None, "": None,
+    }
+    for text, amount in shapes.items():
+        got = feeds.parsed_deposits(spark.createDataFrame([("u", text)], "user string, r string"), "r").collect()
+        assert [r.amount for r in got] == ([] if amount is None else [amount]), text
+
+
+def test_sources(spark):
+    rows = [fill(1), fill(2, t=5, coin="ETH"), fill(3, user=B, t=9)]
+    held = source.TableSource(spark.createDataFrame(rows, STORED), readings=spark.createDataFrame([(1, A, 5, D(1)), (2, A, 6, D(3)), (3, B, 5, D(2))], EQUITY_SNAPSHOTS))
+    assert held.fills(A, "", T0, T0 + 5).count() == 2 and held.fills(A, "ETH").count() == 1 and held.fills(to_ms=T0 + 4).count() == 1
+    assert {(r.user, r.equity) for r in held.equity().collect()} == {(A, 3), (B, 2)}
+    with pytest.raises(LookupError):
+        held.deposits()
+    record = '{"time":%d,"side":"A","px":"5","sz":"1","fee":"0","closedPnl":"0","tid":%d}'
+    answers = spark.createDataFrame([(A, "BTC", f"[{record % (9, 2)},{record % (3, 1)},7]"), (B, "BTC", "oops"), (B, "ETH", None)], "user string, coin string, answer string")
+    landed = source.LandedSource(answers, spark.createDataFrame([(A, '[{"time":1,"delta":"5"}]')], "user string, answer string"), spark.createDataFrame([(A, '{"equity":"12.5"}'), (B, "{}")], "user string, answer string"))
+    assert [r.tid for r in landed.fills().collect()] == [1, 2] and landed.fills(to_ms=3).count() == 1
+    assert landed.deposits(A).first().amount == 5 and [tuple(r) for r in landed.equity().collect()] == [(A, D("12.5"))]
+
+
+def test_calls_are_repeated_while_that_may_help(spark):
+    for statuses, passes in (([429, 503, None], True), ([404], False), ([500] * 99, False)):
+        left, slept, now = list(statuses), [], [0.0]
+
+        def call():
+            if left:
+                raise source.Refused(left.pop(0))
+            return "ok"
+
+        def sleep(s):
+            slept.append(s)
+            now[0] += s
+
+        run = lambda: source.with_retries(call, clock=lambda: now[0], sleep=sleep)  # noqa: B023, E731
+        if passes:
+            assert run() == "ok" and len(slept) == 3
+        else:
+            with pytest.raises(source.Refused):
+                run()
+            assert now[0] <= 30 and (statuses[0] != 404 or not slept)
+    asked = source.fetched(spark.createDataFrame([("u",), ("v",)], "user string"), lambda row: f"[{row['user']}]")
+    assert {tuple(r) for r in asked.collect()} == {("u", "[u]"), ("v", "[v]")}
+    calls, now = [], [0.0]
+    kept = source.Remembered(lambda k: calls.append(k) or len(calls), 5, lambda: now[0], most=2)
+    assert [kept.get("a"), kept.get("a"), kept.get("b")] == [1, 1, 2]
+    now[0] = 5.0
+    assert [kept.get("a"), kept.get("c"), len(kept._kept)] == [3, 4, 2]
+
+
+def test_texts_stored_as_numbers(spark, tmp_path):
+    kinds = "fill_key string, side string, px string, sz string, fee string, closed_pnl string, builder_fee string"
+    r = tables.text_fills(spark.createDataFrame([("k", "?", "x", "2", None, "-1.5", "y")], kinds)).first()
+    assert (r.side, r.px, r.sz, r.fee, r.closed_pnl, r.builder_fee) == ("buy", 0, 2, 0, D("-1.5"), None)
+    assert tables.text_deposits(spark.createDataFrame([("1.5",), ("x",)], "amount string")).agg(F.sum("amount")).first()[0] == D("1.5")
+    r = tables.text_attributions(spark.createDataFrame([("k", 1, "guess", "sure", None)], "fill_key string, attributed int, mode string, confidence string, builder string")).first()
+    assert (r.attributed, r["mode"], r.confidence) == (True, "heuristic", "low")
+    (tmp_path / "users.txt").write_text(f" {A} \n\n{B},{A}\n")
+    assert {r.user for r in source.user_file(spark, str(tmp_path / "users.txt")).collect()} == {A, B}
+
+
 def test_sinks(spark, tmp_path):
     path = str(tmp_path / "fills")
     df = lambda *ids: spark.createDataFrame([fill(i) for i in ids], STORED)
