@@ -120,11 +120,14 @@ def snapshots(moves: DataFrame) -> DataFrame:
     A lifecycle that never ends is as many tasks as it has slices. Maps are kept in 64-bit mantissas.
     """
     rows = moves.where(F.col("kind") != "none").select("user", "coin", *[c for c in FILL_ORDER], "opener", "closer", "kind", "prev", "net", "px")
-    before, after = F.abs("prev").cast("double"), F.abs("net").cast("double")
-    rows = rows.withColumns({"slice": F.floor(F.col("time_ms") / SLICE_MS), "before": before, "after": after, "price": F.coalesce("px", F.lit(0)).cast("double")})
+    # a binary number for the whole part and one for the hundred-millionths hold a decimal as it is
+    measures = {"before": F.abs("prev"), "after": F.abs("net"), "price": F.coalesce("px", F.lit(0))}
+    whole = {f"{n}_whole": F.floor(c).cast("double") for n, c in measures.items()}
+    units = {f"{n}_units": ((c - F.floor(c)) * 100_000_000).cast("double") for n, c in measures.items()}
+    rows = rows.withColumns({"slice": F.floor(F.col("time_ms") / SLICE_MS), **whole, **units})
     life = ["user", "coin", "opener"]
     ordered = rows.repartition(*life, "slice").sortWithinPartitions(*life, "slice", *FILL_ORDER)
-    kept = [c for c in rows.columns if c not in ("before", "after", "price", "prev", "px")]
+    kept = [c for c in rows.columns if c not in _DROPPED]
     no_map = [F.lit(0).cast("long").alias(c) for c in _MAP] + [F.lit(False).alias("is_last")]
     mapped = written(ordered.mapInArrow(_maps_by_row, rows.select(*kept, *no_map).schema), "maps")
 
@@ -157,6 +160,7 @@ def next_average(kind: str, avg: Decimal, prev: Decimal, net: Decimal, px: Decim
     return avg
 
 
+_DROPPED = ["prev", "px", *[f"{n}_{part}" for n in ("before", "after", "price") for part in ("whole", "units")]]
 #: A map between steps: a in billionths and their billionths, b as whole number and 10^-18 parts.
 _MAP = ["a_high", "a_low", "b_whole", "b_part"]
 
@@ -223,13 +227,13 @@ def _maps_by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        before, after, price = (b.column(c).to_numpy().astype(np.longdouble) for c in ("before", "after", "price"))
+        before, after, price = (b.column(f"{c}_whole").to_numpy() + b.column(f"{c}_units").to_numpy() / np.longdouble(100_000_000) for c in ("before", "after", "price"))
         kind = b.column("kind")
         is_in = lambda *names: pc.is_in(kind, pa.array(names)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
         share = np.where(is_in("increase"), before / np.where(after > 0, after, 1), np.where(is_in("decrease"), 1, 0)).astype(np.longdouble)
         added = np.where(is_in("increase"), (after - before) * price / np.where(after > 0, after, 1), np.where(is_in("open", "flip"), price, 0)).astype(np.longdouble)
         first, a, c = carry.over([b.column(n) for n in ("user", "coin", "opener", "slice")], share, added)
-        names = [n for n in b.schema.names if n not in ("before", "after", "price", "prev", "px")]
+        names = [n for n in b.schema.names if n not in _DROPPED]
         columns = [*[b.column(n) for n in names], *_coded(a, c)]
         if held is not None:  # the last row of a batch is known to be its slice's last only now
             yield pa.RecordBatch.from_arrays([*held, pa.array([bool(first[0])])], names=[*names, *_MAP, "is_last"])
