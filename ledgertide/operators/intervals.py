@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgertide.operators.sliced import before_here, carried, upto_here, with_slice
+from ledgertide.operators.storage import written
 
-#: Width of the slices in which a long history is worked on. After equal starts are merged a slice of an
-#: hour holds at most 3.6 million rows of one entity, however many rows the entity has.
-SLAB_MS = 3_600_000
+#: Width of the slices in which a long history is worked on. After equal starts are merged a slice of six
+#: hours holds at most 21.6 million rows of one entity, however many rows the entity has; they are sorted and stream past.
+SLAB_MS = 6 * 3_600_000
 
 
 def periods_and_gaps(
@@ -29,7 +30,9 @@ def periods_and_gaps(
 
     A history isn't sorted as one group. It is cut into slices of ``slab_ms``; the running maxima over
     the slices (one row each) are carried into the slices, so an entity with a third of all rows is
-    spread over as many tasks as it has slices. Equal starts are merged before the first sort.
+    spread over as many tasks as it has slices. Equal starts are merged before the first sort. Each slice
+    is folded into its own periods, with the gaps before them; these are written, and what a slice holds
+    of a period that opened before it is added to that period from the slices' rows.
 
     Nulls: a null ``end`` counts as ``open_end``; rows with a null ``start`` have no place in time and
     are ignored, as are rows that end before they start; a null entity is an entity of its own.
@@ -43,16 +46,21 @@ def periods_and_gaps(
     ).where(F.col("s").isNotNull() & (F.col("e") >= F.col("s")))
     rows = with_slice(source, ["k"], "s", slab_ms).groupBy("__key", "__slice", "s").agg(F.max("e").alias("e"))
 
-    ends = carried(rows.withColumn("within", F.max("e").over(before_here("s"))), {"top": F.max("e")}, {"earlier": F.max("top")})
-    reached = F.greatest("within", "earlier")
-    marked = ends.select("__key", "__slice", "s", "e", reached.alias("reached"), F.when(reached.isNull() | (F.col("s") > reached), F.col("s")).alias("opens"))
-    labels = carried(marked.withColumn("within", F.max("opens").over(upto_here("s"))), {"last": F.max("opens")}, {"earlier": F.max("last")})
-    labelled = labels.withColumn("period", F.coalesce("within", "earlier"))
-    periods = labelled.groupBy("__key", "period").agg(F.max("e").alias("till"))
-    gaps = marked.where(F.col("opens").isNotNull() & F.col("reached").isNotNull())
-    return periods.select(
-        F.lit("period").alias("kind"), F.col("__key.k").alias(entity), F.col("period").alias("start_ms"), F.col("till").alias("end_ms")
-    ).unionByName(
-        gaps.select(F.lit("gap").alias("kind"), F.col("__key.k").alias(entity), F.col("reached").alias("start_ms"), F.col("s").alias("end_ms"))
-    )
+    rows = carried(rows, {"top": F.max("e")}, {"earlier": F.max("top")})
+    reached = F.greatest(F.max("e").over(before_here("s")), "earlier")
+    rows = rows.withColumn("reached", reached)
+    rows = rows.withColumn("opens", F.when(F.col("reached").isNull() | (F.col("s") > F.col("reached")), F.col("s")))
+    rows = rows.withColumn("label", F.max("opens").over(upto_here("s")))
+    # a slice's own periods, and without a label what belongs to the period that reaches into it
+    before = F.max(F.when(F.col("opens").isNotNull(), F.col("reached")))
+    parts = written(rows.groupBy("__key", "__slice", "label").agg(F.max("e").alias("till"), before.alias("gap_from")), "periods")
 
+    earlier = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = parts.groupBy("__key", "__slice").agg(F.max("label").alias("last"), F.max(F.when(F.col("label").isNull(), F.col("till"))).alias("till"))
+    reaching = slices.select("__key", F.max("last").over(earlier).alias("label"), "till", F.lit(None).cast("long").alias("gap_from")).where(F.col("till").isNotNull())
+    own = parts.where(F.col("label").isNotNull()).select("__key", "label", "till", "gap_from")
+    periods = own.unionByName(reaching).groupBy("__key", "label").agg(F.max("till").alias("till"), F.max("gap_from").alias("gap_from"))
+    entry = lambda kind, begins, ends: F.struct(F.lit(kind).alias("kind"), F.col(begins).alias("start_ms"), F.col(ends).alias("end_ms"))
+    gap = F.when(F.col("gap_from").isNotNull(), entry("gap", "gap_from", "label"))
+    out = periods.select("__key", F.explode(F.array_compact(F.array(entry("period", "label", "till"), gap))).alias("p"))
+    return out.select("p.kind", F.col("__key.k").alias(entity), "p.start_ms", "p.end_ms")
