@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +17,10 @@ from ledgertide.operators.storage import written
 BLOCK_TOKENS = 1 << 18
 SHARD_TOKENS = 1 << 22
 #: Blocks grow with the corpus so that there are never more than about so many; the plan of a mix has a row
-#: for each use of a block, so this also bounds what the driver holds and what is broadcast.
+#: for each block, however often it is used, so this also bounds what the driver holds and what is broadcast.
 MAX_BLOCKS = 50_000
+#: The plan further holds how many block uses of each source every shard gets; shards grow so that these are at most so many.
+MAX_QUOTAS = 2_000_000
 #: A mix names at most so many sources, and a source repeats at most so often.
 MAX_SOURCES = 5_000
 MAX_REPEATS = 1_000
@@ -45,6 +48,8 @@ def mix(
     total_tokens: int | None = None,
     seed: int = 1,
     vocabulary: str = VOCABULARY,
+    block_tokens: int | None = None,
+    shard_tokens: int | None = None,
 ) -> Mix:
     """Choose how often each document is used so that each source has its share of ``total_tokens``.
 
@@ -64,9 +69,12 @@ def mix(
     source stands in for it. The exact numbers of blocks per source are split among the output shards
     by a tree: at each node the blocks of the left half of the shards are a multivariate-hypergeometric
     draw from the node's blocks. At the leaves each shard takes its number of blocks off each source's
-    permuted list, so no block use is in two shards, and puts their documents into random order.
+    permuted list, so no block use is in two shards, and puts their documents into random order. A source's
+    list holds the uses of all its passes; a use's place in it is a linear map, one to one, of its number, so
+    it is worked out where the use is, and the plan doesn't grow with the repeats.
 
-    Texts are read once and only lengths are shuffled. Blocks are formed by hash, so a source with a third
+    Blocks have ``block_tokens`` (``BLOCK_TOKENS`` if not given) or more, shards ``shard_tokens``
+    (``SHARD_TOKENS``) or more. Texts are read once and only lengths are shuffled. Blocks are formed by hash, so a source with a third
     of all rows is spread like any other; the driver sees only block sums, ``MAX_BLOCKS`` at most in all
     but for one per source. The same input files and seed give the same mix.
 
@@ -92,7 +100,7 @@ def mix(
     sizes = sizes_of(ids, "text", vocabulary)
     whole = sizes.agg(F.sum("n_tokens")).first()[0] or 0
     total = total_tokens if total_tokens is not None else whole
-    block_tokens = max(BLOCK_TOKENS, whole // MAX_BLOCKS)
+    block_tokens = max(block_tokens or BLOCK_TOKENS, whole // MAX_BLOCKS)
 
     usable = sizes.where(F.col("source").isin(names) & (F.col("n_tokens") > 0))
     stock = {r.source: r for r in usable.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")).collect()}
@@ -107,32 +115,41 @@ def mix(
     for r in sorted(sums, key=lambda r: (r.source, r.block)):
         by_source.setdefault(r.source, []).append((r.block, r.tokens))
 
-    uses: dict[str, list[tuple[int, int, int | None]]] = {}
-    for w in wanted:
+    # per source its whole passes, and of one more pass the whole blocks and the tokens taken off a cut one
+    rng = np.random.default_rng(seed)
+    plan, used_blocks = [], []
+    for k, w in enumerate(wanted):
         blocks = by_source.get(w.source, [])
         have = sum(t for _, t in blocks)
         target = int(w.share * total) if w.share else 0
         limit = max(0, w.repeats or 0)
         full = min(limit, target // have) if have else 0
-        uses[w.source] = [(b, p, None) for p in range(1, full + 1) for b, _ in blocks]
         left = target - full * have if full < limit and have else 0
-        for b, t in blocks:
-            if left <= 0:
-                break
-            uses[w.source].append((b, full + 1, None if t <= left else left))
-            left -= t
-
-    rng = np.random.default_rng(seed)
-    shards = max(1, round(total / max(SHARD_TOKENS, 16 * block_tokens)))
-    quotas = split_quotas(np.array([len(uses[s]) for s in names], np.int64), shards, rng)
-    plan = []
-    for k, s in enumerate(names):
-        to = np.repeat(np.arange(shards), quotas[:, k]).tolist()
-        plan += [(s, *uses[s][i], shard) for i, shard in zip(rng.permutation(len(uses[s])).tolist(), to)]
-    table = spark.createDataFrame(plan, "source string, block long, pass int, cut long, shard int")
+        own, count = [], full * len(blocks)
+        for i, ((b, t), place) in enumerate(zip(blocks, rng.permutation(len(blocks)).tolist())):
+            more, cut = 0, None
+            if left > 0:
+                more, cut = 1, None if t <= left else left
+                left -= t
+                count += 1
+            if full + more:
+                own.append((k, w.source, b, place, full * len(blocks) + i, len(blocks), full + more, full + 1, cut))
+        step = next((a for a in rng.integers(1, max(2, count), 1000).tolist() if math.gcd(a, count) == 1), 1)
+        start = int(rng.integers(0, max(1, count)))
+        plan += [(*row, count, step, start) for row in own]
+        used_blocks.append(count)
+    shards = max(1, round(total / max(shard_tokens or SHARD_TOKENS, 16 * block_tokens)))
+    shards = min(shards, max(1, MAX_QUOTAS // max(1, len(names))))
+    quotas = split_quotas(np.array(used_blocks, np.int64), shards, rng)
+    table = spark.createDataFrame(plan, _PLAN)
 
     # whole blocks, and of the cut blocks (one per source) the documents before the cut
     used = placed.select("id", "source", "row_id", "rank", "n_tokens", "block").join(F.broadcast(table), ["source", "block"])
+    used = used.withColumn("pass", F.explode(F.sequence(F.lit(1), "passes")))
+    used = used.withColumn("cut", F.when(F.col("pass") == F.col("last_pass"), F.col("cut_at")))
+    use = F.when(F.col("pass") < F.col("last_pass"), (F.col("pass") - 1) * F.col("per_pass") + F.col("place")).otherwise(F.col("last_place"))
+    used = used.withColumn("shard", _shard_of(quotas)("k", F.pmod(use * F.col("step") + F.col("start"), F.col("count"))))
+    used = used.select("id", "source", "row_id", "rank", "n_tokens", "pass", "cut", "shard")
     upto = Window.partitionBy("source", "pass").orderBy("rank", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     cut = used.where(F.col("cut").isNotNull()).withColumn("upto", F.sum("n_tokens").over(upto)).where(F.col("upto") - F.col("n_tokens") / 2 <= F.col("cut")).drop("upto")
     used = used.where(F.col("cut").isNull()).unionByName(cut)
@@ -165,6 +182,27 @@ def mix(
     return Mix(chosen, shares)
 
 
+#: A row for each block that is used: its place in a whole pass and in the last, partial one, how many passes
+#: use it, where that last one cuts it, and the map from the source's uses to their places in its list.
+_PLAN = "k int, source string, block long, place long, last_place long, per_pass long, passes int, last_pass int, cut_at long, count long, step long, start long"
+
+
+def _shard_of(quotas: np.ndarray):
+    """A function of a source's number and a place in its list of block uses that gives the shard which takes that use."""
+    ends = quotas.cumsum(axis=0)
+
+    @F.pandas_udf("int")
+    def shard(k: pd.Series, at: pd.Series) -> pd.Series:
+        out = np.empty(len(k), np.int64)
+        sources = k.to_numpy()
+        for source in np.unique(sources):
+            own = sources == source
+            out[own] = np.searchsorted(ends[:, source], at.to_numpy()[own], side="right")
+        return pd.Series(out)
+
+    return shard
+
+
 def split_quotas(blocks: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """How many blocks of each source each shard gets: a row per shard, the columns adding up to ``blocks``.
 

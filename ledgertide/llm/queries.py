@@ -66,6 +66,11 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder).chosen
 
 
+def p7_sharded(spark: SparkSession, folder: str) -> DataFrame:
+    """The same mix in small blocks and shards, at which the tree has many nodes at any scale."""
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), block_tokens=1 << 13, shard_tokens=1 << 17).chosen
+
+
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder).shares
 
@@ -82,7 +87,7 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select("subject", "documents", (F.col("documents") / documents).alias("share"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_percentiles, p4_found, p6_packed, p6_tight, p7_mix, p7_shares, p8_found, p8_composition)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_percentiles, p4_found, p6_packed, p6_tight, p7_mix, p7_sharded, p7_shares, p8_found, p8_composition)}
 
 _FILLS = """f AS (SELECT fill_key, any_value(coin) AS coin, CAST(any_value(fee) AS DOUBLE) AS fee, CAST(any_value(closed_pnl) AS DOUBLE) AS closed_pnl
       FROM raw_fills GROUP BY fill_key)"""

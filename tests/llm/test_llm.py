@@ -298,6 +298,29 @@ def test_mix_reports_what_it_reached(spark):
     assert (none.mix_share, none.mix_tokens, none.total_tokens) == (0, 0, 0)
 
 
+def test_mix_far_larger_than_the_corpus(spark):
+    """The plan has a row for each block however often it is used, and every use is in one shard."""
+    rows = [(i, "a" if i % 4 else "b", " ".join(["word"] * (5 + i % 9))) for i in range(400)]
+    whole = 100 * sum(len(t.split()) for *_, t in rows)
+    m = mix(corpus(spark, rows), targets(spark, [("a", 0.7, 1000), ("b", 0.3, 1000)]), total_tokens=whole, block_tokens=100, shard_tokens=2000)
+    chosen = m.chosen.collect()
+    assert abs(sum(r.n_tokens for r in chosen) - whole) < 100
+    uses = Counter((r.doc_id, r["pass"]) for r in chosen)
+    assert set(uses.values()) == {1} and max(p for _, p in uses) > 100
+    shards = Counter(r.shard for r in chosen)
+    assert len(shards) > 100 and max(shards.values()) < 2.5 * len(chosen) / len(shards)
+    spread = {r["pass"] for r in chosen if r.shard == 5}
+    assert len(spread) > 5  # uses of all passes are mixed
+    plans = []
+    real = spark.createDataFrame
+    try:
+        spark.createDataFrame = lambda rows, *a, **k: plans.append(len(rows)) or real(rows, *a, **k)
+        mix(m.chosen.limit(0).select(F.lit(1).alias("doc_id"), "source", F.lit("x").alias("text")).unionByName(real([(i, s, t) for i, s, t in rows], "doc_id int, source string, text string")), targets(spark, [("a", 1.0, 1000)]), total_tokens=whole, block_tokens=100)
+    finally:
+        spark.createDataFrame = real
+    assert max(plans) < 100
+
+
 def test_mix_edges(spark):
     none = mix(corpus(spark, []), targets(spark, [("a", 1.0, 1)]))
     assert none.chosen.count() == 0 and [tuple(r)[:2] for r in none.shares.collect()] == [("a", 1.0)]
