@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,13 +85,15 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str =
     code in ``areas.subject`` are left out. Of the labelled documents at most ``MAX_LABELLED`` take part,
     chosen by hash; their words are counted once into a table that each pass reads.
 
-    Each subject has ``TOPICS_PER_SUBJECT`` topics, and ``OTHER_TOPICS`` more may take what belongs to
-    none; a labelled document draws on the topics of its labels and on the others. A pass is a job: each
-    task runs the variational step for its documents under the topics of the last pass and returns the
-    expected term counts per topic, and the driver adds up these matrices, whose size is that of the
-    model. Afterwards each topic's ``TOP_TERMS`` are inspected: each term speaks for the subjects of the
-    labelled documents that hold it, in proportion, and the topic goes to the subject with most of that
-    evidence, if it has ``MIN_EVIDENCE`` of it.
+    Each subject has ``TOPICS_PER_SUBJECT`` topics, and ``OTHER_TOPICS`` more take what belongs to none
+    and never get a subject; a labelled document draws on the topics of its labels and on the others. A
+    pass is a job: each task runs the variational step for its documents under the topics of the last
+    pass, which are broadcast, and gives a row of expected term counts per topic; the rows of a topic are
+    added up by one task, so that the driver gets one row per topic, however many tasks there are. What is
+    broadcast has the size of the model: topics times terms, four bytes each. Afterwards the ``TOP_TERMS``
+    of each subject topic are inspected: each term speaks for the subjects of the labelled documents that
+    hold it, in proportion, and the topic goes to the subject with most of that evidence, be it the one it
+    began with or not, if it has ``MIN_EVIDENCE`` of it.
 
     Without labelled documents the model has no terms, and without areas no subjects.
     """
@@ -104,22 +107,13 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str =
     rows = rows.join(F.broadcast(sample), F.col("id") == F.col("label_id")).groupBy("id", "labels").agg(F.min("text").alias("text"))
     bags = written(rows.mapInArrow(_bags, "labels array<string>, terms array<string>, counts array<int>"), "bags")
 
-    exploded = bags.select(F.explode("terms").alias("term"), "labels", F.lit(1.0).alias("one"))
-    shares = exploded.select("term", F.explode("labels").alias("s"), (1 / F.size("labels")).alias("w"))
-    evidence = shares.groupBy("term", "s").agg(F.sum("w").alias("w")).groupBy("term").agg(F.sum("w").alias("n"), F.map_from_entries(F.collect_list(F.struct("s", "w"))).alias("by"))
-    found = evidence.where(F.col("n") > MIN_DOCUMENTS - 0.5).orderBy("term").collect()
-    spread = np.zeros((len(found), max(1, len(subjects))))
-    for i, r in enumerate(found):
-        for s, w in r.by.items():
-            spread[i, place[s]] = w
     totals = bags.select(F.explode("labels").alias("s"), (1 / F.size("labels")).alias("w")).groupBy("s").agg(F.sum("w").alias("w")).collect()
     prior = np.full(max(1, len(subjects)), 1e-9)
     for r in totals:
         prior[place[r.s]] += r.w
     prior /= prior.sum()
-    leaning = (spread + SMOOTHING * prior) / (spread.sum(1, keepdims=True) + SMOOTHING)
-    keep = leaning.max(1) >= MIN_PEAK
-    terms, leaning, weight = [r.term for r, k in zip(found, keep) if k], leaning[keep], spread[keep].sum(1)
+    terms, spread = _vocabulary(bags, subjects, prior)
+    leaning, weight = (spread + SMOOTHING * prior) / (spread.sum(1, keepdims=True) + SMOOTHING), spread.sum(1)
     if not terms:
         return SubjectModel(subjects, [], np.zeros((0, 0), np.float32), np.zeros(0, np.int64), prior)
 
@@ -129,16 +123,48 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str =
     topics[:count] *= np.repeat(leaning.T, TOPICS_PER_SUBJECT, axis=0)
     topics /= topics.sum(1, keepdims=True)
     for _ in range(PASSES):
-        parts = bags.mapInArrow(_pass_over(topics.astype(np.float32), terms, place), "counts binary").collect()
-        topics = sum((np.frombuffer(p.counts, np.float64).reshape(topics.shape) for p in parts), np.zeros(topics.shape)) + ETA
+        sent = bags.sparkSession.sparkContext.broadcast((topics.astype(np.float32), terms))
+        sums = bags.mapInArrow(_pass_over(sent, place), _ROWS).groupBy("topic").applyInArrow(_added, _ROWS).collect()
+        sent.unpersist()
+        topics = np.full(topics.shape, ETA)
+        for r in sums:
+            topics[r.topic] += np.frombuffer(r.counts, np.float64)
         topics /= topics.sum(1, keepdims=True)
 
-    top = np.argsort(-topics, axis=1)[:, :TOP_TERMS]
+    top = np.argsort(-topics[:count], axis=1)[:, :TOP_TERMS]
     spoken = np.stack([(topics[k, t][:, None] * leaning[t]).sum(0) / topics[k, t].sum() for k, t in enumerate(top)])
-    subject_of = np.where(spoken.max(1) >= MIN_EVIDENCE, spoken.argmax(1), -1)
+    subject_of = np.full(len(topics), -1)
+    subject_of[:count] = np.where(spoken.max(1) >= MIN_EVIDENCE, spoken.argmax(1), -1)
     return SubjectModel(subjects, terms, topics.astype(np.float32), subject_of, prior)
 
 
+def _vocabulary(bags: DataFrame, subjects: list[str], prior: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The terms that ``MIN_DOCUMENTS`` labelled documents hold and of whose evidence one subject has ``MIN_PEAK``, and that evidence.
+
+    They are chosen where they are counted; only the chosen ones come to the driver.
+    """
+    known = F.broadcast(bags.sparkSession.createDataFrame([(s, i, float(p)) for i, (s, p) in enumerate(zip(subjects, prior))], "s string, at int, prior double"))
+    shares = bags.select(F.explode("terms").alias("term"), "labels").select("term", F.explode("labels").alias("s"), (1 / F.size("labels")).alias("w"))
+    each = shares.groupBy("term", "s").agg(F.sum("w").alias("w")).join(known, "s")
+    by_term = each.groupBy("term").agg(F.sum("w").alias("n"), F.collect_list(F.struct("at", "w")).alias("by"), F.max(F.col("w") + SMOOTHING * F.col("prior")).alias("most"))
+    peak = F.greatest("most", F.lit(SMOOTHING * float(prior.max()))) / (F.col("n") + SMOOTHING)
+    found = by_term.where((F.col("n") > MIN_DOCUMENTS - 0.5) & (peak >= MIN_PEAK)).orderBy("term").collect()
+    spread = np.zeros((len(found), max(1, len(subjects))))
+    for i, r in enumerate(found):
+        for x in r.by:
+            spread[i, x.at] = x.w
+    return [r.term for r in found], spread
+
+
+_ROWS = "topic int, counts binary"
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    """The sum of the count rows of one topic."""
+    total = np.sum([np.frombuffer(c.as_buffer(), np.float64) for c in rows.column("counts")], axis=0)
+    return pa.table({"topic": rows.column("topic")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The terms of each text with their counts."""
     from collections import Counter
@@ -154,8 +180,9 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _pass_over(topics: np.ndarray, terms: list[str], place: dict[str, int]):
+def _pass_over(sent: Broadcast, place: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        topics, terms = sent.value
         index = {t: i for i, t in enumerate(terms)}
         total = np.zeros(topics.shape)
         for b in batches:
@@ -174,7 +201,8 @@ def _pass_over(topics: np.ndarray, terms: list[str], place: dict[str, int]):
             _, shares = proportions(doc[used], ids[used], counts[used], b.num_rows, topics, INNER, allowed)
             for k in range(len(topics)):
                 total[k] += np.bincount(ids[used], shares[:, k], topics.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+        rows = [pa.array(range(len(total)), pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())]
+        yield pa.RecordBatch.from_arrays(rows, names=["topic", "counts"])
 
     return run
 
@@ -217,8 +245,10 @@ def assign(documents: DataFrame, model: SubjectModel, doc_id: str = "doc_id", te
     """
     rows = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         index = {t: i for i, t in enumerate(model.terms)}
         known = _Known(lambda word: index.get(term(word), -1))
         member = np.zeros((len(model.topics), len(model.subjects)), np.float32)
