@@ -189,31 +189,48 @@ class XFastTrie:
 
 
 def _pair(batches: Iterator[pa.RecordBatch], bits: int, closes: int, tolerance_ms: int, tolerance: int) -> Iterator[pa.RecordBatch]:
-    """Sorted by cell, right rows before left rows: build the tries of the right rows, answer the left rows."""
-    kept: list[np.ndarray] | None = None  # the right rows so far of the cell that the last batch ended in
-    kept_ids = None
+    """Sorted by cell, right rows before left rows: build the tries of the right rows, answer the left rows.
+
+    The cell that a batch ends in stays open. Its right rows are gathered as they come, and its trie is built
+    once, when the first of its left rows comes.
+    """
+    key, chunks, ready = None, [], None  # of the open cell: its two hashes, its right rows so far, its trie
     for b in batches:
         if not b.num_rows:
             continue
-        named = {n: b.column(n) for n in b.schema.names}
-        side = named["side"].to_numpy()
-        columns = [named[n].to_numpy() for n in ("g", "h", "x", *[f"close_{i}" for i in range(closes)])]
-        logs = np.flatnonzero(side == 0)
-        right, right_ids = [c[logs] for c in columns], named["rid"].take(pa.array(logs))
-        if kept is not None and (kept[0][0], kept[1][0]) == (columns[0][0], columns[1][0]):
-            right, right_ids = [np.r_[k, c] for k, c in zip(kept, right)], pa.concat_arrays([kept_ids, right_ids])
-        fills = np.flatnonzero(side == 1)
-        if len(fills) and len(right_ids):
-            left = [c[fills] for c in columns]
-            best = _best(left, right, bits, tolerance_ms, tolerance, _order(right_ids))
-            hit = np.flatnonzero(best >= 0)
-            if len(hit):
-                yield pa.RecordBatch.from_arrays(
-                    [named["lid"].take(pa.array(fills[hit])), right_ids.take(pa.array(best[hit]))], names=["lid", "rid"]
-                )
-        last = (right[0] == columns[0][-1]) & (right[1] == columns[1][-1])
-        kept = [c[last] for c in right] if last.any() else None
-        kept_ids = right_ids.filter(pa.array(last)) if last.any() else None
+        g, h = b.column("g").to_numpy(), b.column("h").to_numpy()
+        here = (g == key[0]) & (h == key[1]) if key is not None else np.zeros(len(g), bool)
+        going_on = int(np.argmin(here)) if not here.all() else len(here)
+        if going_on:
+            part = b.slice(0, going_on)
+            right = _rows(part, 0, closes, "rid")
+            if len(right[1]):
+                chunks, ready = [*chunks, right], None
+            left = _rows(part, 1, closes, "lid")
+            if len(left[1]) and chunks:
+                ready = ready or _Cells(_together(chunks), bits, tolerance_ms, tolerance)
+                yield from ready.answers(left)
+        rest = b.slice(going_on)
+        if not rest.num_rows:
+            continue
+        right, left = _rows(rest, 0, closes, "rid"), _rows(rest, 1, closes, "lid")
+        if len(right[1]) and len(left[1]):
+            yield from _Cells(right, bits, tolerance_ms, tolerance).answers(left)
+        key = (g[-1], h[-1])
+        last = (right[0][0] == key[0]) & (right[0][1] == key[1])
+        chunks, ready = [([c[last] for c in right[0]], right[1].filter(pa.array(last)))] if last.any() else [], None
+
+
+_Rows = tuple[list[np.ndarray], pa.Array]  #: g, h, x and the compared columns; the ids
+
+
+def _rows(b: pa.RecordBatch, side: int, closes: int, ids: str) -> _Rows:
+    at = np.flatnonzero(b.column("side").to_numpy() == side)
+    return [b.column(n).to_numpy()[at] for n in ("g", "h", "x", *[f"close_{i}" for i in range(closes)])], b.column(ids).take(pa.array(at))
+
+
+def _together(chunks: list[_Rows]) -> _Rows:
+    return [np.concatenate(c) for c in zip(*[columns for columns, _ in chunks])], pa.concat_arrays([ids for _, ids in chunks])
 
 
 def _order(ids: pa.Array) -> np.ndarray:
@@ -223,38 +240,54 @@ def _order(ids: pa.Array) -> np.ndarray:
     return places
 
 
-def _best(left: list[np.ndarray], right: list[np.ndarray], bits: int, tolerance_ms: int, tolerance: int, place: np.ndarray) -> np.ndarray:
-    """For each left row the index of its partner among the right rows (sorted by cell and time), or -1."""
-    cells = np.r_[True, (right[0][1:] != right[0][:-1]) | (right[1][1:] != right[1][:-1])].cumsum() - 1
-    opens = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-    of_cell = {key: i for i, key in enumerate(zip(right[0][opens].tolist(), right[1][opens].tolist()))}
-    changes = np.r_[True, (left[0][1:] != left[0][:-1]) | (left[1][1:] != left[1][:-1])]
-    heads = np.flatnonzero(changes)
-    known = np.array([of_cell.get(key, -1) for key in zip(left[0][heads].tolist(), left[1][heads].tolist())], np.int64)
-    cell = known[changes.cumsum() - 1]
-    ask = np.flatnonzero(cell >= 0)
-    out = np.full(len(cell), -1, np.int64)
-    if not len(ask):
+class _Cells:
+    """Right rows, sorted by cell and time, and the tries of their times."""
+
+    def __init__(self, right: _Rows, bits: int, tolerance_ms: int, tolerance: int) -> None:
+        self.right, self.ids = right
+        self.tolerance_ms, self.tolerance = tolerance_ms, tolerance
+        g, h, x = self.right[:3]
+        self.place = _order(self.ids)
+        self.cells = np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])].cumsum() - 1
+        opens = np.flatnonzero(np.r_[True, self.cells[1:] != self.cells[:-1]])
+        self.of_cell = {key: i for i, key in enumerate(zip(g[opens].tolist(), h[opens].tolist()))}
+        self.leaf = np.flatnonzero(np.r_[True, (self.cells[1:] != self.cells[:-1]) | (x[1:] != x[:-1])])
+        self.ends = np.r_[self.leaf[1:], len(x)] - 1
+        self.trie = XFastTrie(self.cells[self.leaf], x[self.leaf], bits)
+
+    def answers(self, left: _Rows) -> Iterator[pa.RecordBatch]:
+        best = self.best(left[0])
+        hit = np.flatnonzero(best >= 0)
+        if len(hit):
+            yield pa.RecordBatch.from_arrays([left[1].take(pa.array(hit)), self.ids.take(pa.array(best[hit]))], names=["lid", "rid"])
+
+    def best(self, left: list[np.ndarray]) -> np.ndarray:
+        """For each left row the index of its partner among the right rows, or -1."""
+        right, cells, place, x = self.right, self.cells, self.place, self.right[2]
+        changes = np.r_[True, (left[0][1:] != left[0][:-1]) | (left[1][1:] != left[1][:-1])]
+        heads = np.flatnonzero(changes)
+        known = np.array([self.of_cell.get(key, -1) for key in zip(left[0][heads].tolist(), left[1][heads].tolist())], np.int64)
+        cell = known[changes.cumsum() - 1]
+        ask = np.flatnonzero(cell >= 0)
+        out = np.full(len(cell), -1, np.int64)
+        if not len(ask):
+            return out
+        before, after = self.trie.neighbours(cell[ask], left[2][ask])
+        gap, chosen = np.full(len(ask), self.tolerance_ms, np.int64), np.full(len(ask), -1, np.int64)
+        for step, start in ((-1, np.where(before >= 0, self.ends[before], -1)), (1, np.where(after >= 0, self.leaf[after], -1))):
+            on, at = np.flatnonzero(start >= 0), start[start >= 0]
+            while len(on):
+                row = ask[on]
+                away = np.abs(x[at] - left[2][row])
+                live = (cells[at] == cell[row]) & (away <= gap[on])
+                on, at, row, away = on[live], at[live], row[live], away[live]
+                fits = np.ones(len(on), bool)
+                for mine, theirs in zip(left[3:], right[3:]):
+                    fits &= np.abs(theirs[at] - mine[row]) <= self.tolerance
+                nearer = fits & ((chosen[on] < 0) | (away < gap[on]) | (place[at] < place[np.maximum(chosen[on], 0)]))
+                chosen[on[nearer]], gap[on[nearer]] = at[nearer], away[nearer]
+                at = at + step
+                inside = (at >= 0) & (at < len(x))
+                on, at = on[inside], at[inside]
+        out[ask] = chosen
         return out
-    x = right[2]
-    leaf = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]) | (x[1:] != x[:-1])])
-    before, after = XFastTrie(cells[leaf], x[leaf], bits).neighbours(cell[ask], left[2][ask])
-    ends = np.r_[leaf[1:], len(x)] - 1
-    gap, chosen = np.full(len(ask), tolerance_ms, np.int64), np.full(len(ask), -1, np.int64)
-    for step, start in ((-1, np.where(before >= 0, ends[before], -1)), (1, np.where(after >= 0, leaf[after], -1))):
-        on, at = np.flatnonzero(start >= 0), start[start >= 0]
-        while len(on):
-            row = ask[on]
-            away = np.abs(x[at] - left[2][row])
-            live = (cells[at] == cell[row]) & (away <= gap[on])
-            on, at, row, away = on[live], at[live], row[live], away[live]
-            fits = np.ones(len(on), bool)
-            for mine, theirs in zip(left[3:], right[3:]):
-                fits &= np.abs(theirs[at] - mine[row]) <= tolerance
-            nearer = fits & ((chosen[on] < 0) | (away < gap[on]) | (place[at] < place[np.maximum(chosen[on], 0)]))
-            chosen[on[nearer]], gap[on[nearer]] = at[nearer], away[nearer]
-            at = at + step
-            inside = (at >= 0) & (at < len(x))
-            on, at = on[inside], at[inside]
-    out[ask] = chosen
-    return out

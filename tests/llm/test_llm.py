@@ -120,6 +120,21 @@ def test_nearest_edges(spark):
     assert len(got) == 30_000 and {r for _, r in got} == {0}
 
 
+def test_nearest_over_many_batches(spark):
+    """Cells that begin, go on and end in the middle of batches."""
+    rng = random.Random(9)
+    row = lambda i: (i, rng.choice("uv"), "c", "buy", rng.choice([D("1"), D("1.00000050")]), D(1), rng.randrange(3000), 1, 2)
+    left, right = [row(f"f{i}") for i in range(300)], [row(i) for i in range(200)]
+    want = brute(left, right)
+    for size in (1, 7, 64):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = nearest_in_time(spark.createDataFrame(left, SIDES.format("string")).withColumnRenamed("id", "fill_key"), spark.createDataFrame(right, SIDES.format("long")).withColumnRenamed("id", "log_id"), "fill_key", "log_id").collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert dict(map(tuple, got)) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 255)), max_size=40), st.lists(st.tuples(st.integers(0, 4), st.integers(0, 255)), min_size=1, max_size=40))
 def test_trie_neighbours(leaves, questions):
