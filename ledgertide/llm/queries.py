@@ -14,21 +14,25 @@ from ledgertide.operators.storage import small_or_shuffled
 from ledgertide.sources.tables import table
 
 PERCENTILES = ["0.01", "0.1", "0.25", "0.5", "0.75", "0.9", "0.99"]
-MIN_FILLS = 200
+MIN_FILLS, COUNTED = 200, "fills"
 MAX_BROADCAST_COINS = 50_000
 
 
 def _daily(spark: SparkSession, folder: str) -> DataFrame:
-    """Partial counts of fee and closed_pnl per coin and day; a day is that of ``time_ms``, which copies share."""
-    fills = table(spark, folder, "raw_fills")
-    days = fills.select("coin", "fee", "closed_pnl", "fill_key", F.floor(F.col("time_ms") / 86_400_000).alias("day"))
-    return partial_counts(days, "coin", ["fee", "closed_pnl"], "day", "fill_key")
+    """Partial counts of fee and closed_pnl per coin and day; a day is that of ``time_ms``, which copies share.
+
+    A third field, always zero, counts the fills themselves, whatever is null in them.
+    """
+    fills = table(spark, folder, "raw_fills").withColumn(COUNTED, F.lit(0).cast("decimal(20,8)"))
+    days = fills.select("coin", "fee", "closed_pnl", COUNTED, "fill_key", F.floor(F.col("time_ms") / 86_400_000).alias("day"))
+    return partial_counts(days, "coin", ["fee", "closed_pnl", COUNTED], "day", "fill_key")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    known = percentiles(_daily(spark, folder), ["0.1", "0.5", "0.9"]).where(F.col("n") >= MIN_FILLS)
+    known = percentiles(_daily(spark, folder), ["0.1", "0.5", "0.9"])
     at = lambda field, p: F.max(F.when((F.col("field") == field) & (F.col("p") == p), F.col("value").cast("double")))
-    limits = known.groupBy(F.col("group").alias("of_coin")).agg(at("fee", 0.5).alias("mid"), at("closed_pnl", 0.1).alias("p10"), at("closed_pnl", 0.9).alias("p90"))
+    limits = known.groupBy(F.col("group").alias("of_coin")).agg(at("fee", 0.5).alias("mid"), at("closed_pnl", 0.1).alias("p10"), at("closed_pnl", 0.9).alias("p90"), F.max(F.when(F.col("field") == COUNTED, F.col("n"))).alias("fills"))
+    limits = limits.where(F.col("fills") >= MIN_FILLS)
     fills = table(spark, folder, "raw_fills").select("fill_key", "coin", F.col("fee").cast("double"), F.col("closed_pnl").cast("double"))
     fills = fills.join(small_or_shuffled(limits, MAX_BROADCAST_COINS), F.col("coin") == F.col("of_coin"))
     spread = 12 * (F.col("p90") - F.col("p10"))
@@ -39,7 +43,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Exact percentiles of every coin."""
-    known = percentiles(_daily(spark, folder), PERCENTILES)
+    known = percentiles(_daily(spark, folder).where(F.col("field") != COUNTED), PERCENTILES)
     return known.select(F.col("group").alias("coin"), "field", "p", "n", F.col("value").cast("decimal(38,10)").alias("value"))
 
 
