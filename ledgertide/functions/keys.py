@@ -80,6 +80,15 @@ def utc_day(time_ms: Column) -> Column:
     return F.date_format(F.date_add(F.to_date(F.lit("1970-01-01")), F.floor(time_ms / 86_400_000).cast("int")), "yyyyMMdd")
 
 
+def place(time_ms: Column, tie: Column) -> Column:
+    """Time and a whole number as one number that orders as both do, so that a latest row is found by hashing.
+
+    Times are to have at most 18 digits.
+    """
+    above_zero = tie.cast("decimal(20,0)") + F.lit(Decimal(2**63)).cast("decimal(20,0)")
+    return (time_ms.cast("decimal(18,0)").cast("decimal(38,0)") * F.lit(Decimal(10**20)).cast("decimal(21,0)")).cast("decimal(38,0)") + above_zero
+
+
 def sign_of(side: Column) -> Column:
     return F.when(side == "sell", -1).otherwise(1)
 

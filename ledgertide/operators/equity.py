@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgertide.functions.keys import place
 from ledgertide.operators.sliced import carried, upto_here, with_slice
 from ledgertide.schema import TOTAL
 
@@ -19,7 +20,7 @@ def derived(deposits: DataFrame, effects: DataFrame, at_ms: int) -> DataFrame:
 def latest_snapshot(snapshots: DataFrame, at_ms: int) -> DataFrame:
     """``(user, equity)`` of the latest snapshot at or before ``at_ms``; of equal times the highest id."""
     rows = snapshots.where(F.col("time_ms") <= at_ms)
-    return rows.groupBy("user").agg(F.max_by("equity", F.struct("time_ms", "id")).cast(TOTAL).alias("equity"))
+    return rows.groupBy("user").agg(F.max_by("equity", place(F.col("time_ms"), F.col("id"))).cast(TOTAL).alias("equity"))
 
 
 def at_opening(deposits: DataFrame, at_ms: int | None) -> DataFrame:
@@ -35,7 +36,7 @@ def snapshot_of_each(asked: DataFrame, snapshots: DataFrame) -> DataFrame:
     """``(user, equity)`` of the latest snapshot at or before each wallet's ``at_ms``; a wallet is asked for once."""
     at = asked.select(F.col("user").alias("of_user"), "at_ms")
     rows = snapshots.join(at, (F.col("user") == F.col("of_user")) & (F.col("time_ms") <= F.col("at_ms")))
-    return rows.groupBy("user").agg(F.max_by("equity", F.struct("time_ms", "id")).cast(TOTAL).alias("equity"))
+    return rows.groupBy("user").agg(F.max_by("equity", place(F.col("time_ms"), F.col("id"))).cast(TOTAL).alias("equity"))
 
 
 def at_time(snapshots: DataFrame | None, deposits: DataFrame, effects: DataFrame, at_ms: int) -> DataFrame:
@@ -56,8 +57,8 @@ def as_of(questions: DataFrame, snapshots: DataFrame) -> DataFrame:
     asked = questions.select("user", "time_ms", F.lit(1).alias("asks"), F.lit(None).cast("long").alias("sid"), F.struct(*questions.columns).alias("q"), F.lit(None).cast(TOTAL).alias("e"))
     known = snapshots.select("user", "time_ms", F.lit(0).alias("asks"), F.col("id").alias("sid"), F.lit(None).cast(asked.schema["q"].dataType).alias("q"), F.col("equity").cast(TOTAL).alias("e"))
     rows = with_slice(asked.unionByName(known), ["user"], "time_ms")
-    place = F.when(F.col("e").isNotNull(), F.struct("time_ms", "sid"))
-    rows = carried(rows, {"last_e": F.max_by("e", place)}, {"earlier": F.last("last_e", ignorenulls=True)})
+    known_at = F.when(F.col("e").isNotNull(), place(F.col("time_ms"), F.col("sid")))
+    rows = carried(rows, {"last_e": F.max_by("e", known_at)}, {"earlier": F.last("last_e", ignorenulls=True)})
     here = F.last("e", ignorenulls=True).over(upto_here("time_ms", "asks", "sid"))
     rows = rows.withColumn("equity", F.coalesce(here, "earlier")).where(F.col("asks") == 1)
     return rows.select("q.*", "equity")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -63,8 +64,9 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     passed = state.getCurrentWatermarkMs()
     waiting.sort(key=_place)
     out = []
-    while waiting and waiting[0]["t"] <= passed:
-        fill = waiting.pop(0)
+    ready = bisect_right(waiting, passed, key=lambda fill: fill["t"])
+    ready, waiting = waiting[:ready], waiting[ready:]
+    for fill in ready:
         px, size = Decimal(fill["px"] or 0), Decimal(fill["sz"] or 0)
         prev, net = net, net + (-size if fill["side"] == "sell" else size)
         kind = kind_of(prev, net)

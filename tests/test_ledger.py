@@ -80,6 +80,14 @@ def test_event_and_lifecycle_keys(spark):
     assert ids == [int.from_bytes(hashlib.sha256(n.encode()).digest()[:8], "little") & (2**63 - 1) or 1 for n in names]
 
 
+def test_places_order_like_pairs(spark):
+    rng = random.Random(3)
+    ends = [-(2**63), -1, 0, 1, 2**63 - 1]
+    rows = [(rng.choice([-(10**17), -5, 0, 3, T0]), rng.choice(ends)) for _ in range(200)]
+    got = [r.p for r in spark.createDataFrame(rows, "t long, i long").select(keys.place(F.col("t"), F.col("i")).alias("p")).collect()]
+    assert [r for _, r in sorted(zip(got, rows))] == sorted(rows)
+
+
 def test_days_and_texts(spark):
     df = spark.createDataFrame([(0, D("1.50")), (-1, D("100")), (1704067199999, D("0")), (1704067200000, D("-0.00000010"))], "t long, d decimal(18,8)")
     rows = df.select(keys.utc_day(F.col("t")).alias("day"), keys.decimal_text(F.col("d")).alias("x")).collect()
