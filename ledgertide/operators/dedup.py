@@ -31,9 +31,9 @@ def last_written(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.groupBy(F.col(key).alias("__key")).agg(F.max_by(whole, F.struct(*order)).alias("__row")).select("__row.*")
 
 
-def new_rows(incoming: DataFrame, stored: DataFrame, key: str, order: str) -> DataFrame:
-    """What an idempotent append adds: the first write of each key that isn't stored yet."""
-    return first_written(incoming, key, order).join(stored.select(key), key, "left_anti").select(*incoming.columns)
+def new_rows(incoming: DataFrame, stored: DataFrame, key: str, order: str, same: list[str] | None = None) -> DataFrame:
+    """What an idempotent append adds: the first write of each key that isn't stored yet, ``same`` as in :func:`first_written`."""
+    return first_written(incoming, key, order, same).join(stored.select(key), key, "left_anti").select(*incoming.columns)
 
 
 def copies_folded(df: DataFrame, key: str, same: list[str], sums: dict[str, Column], least: list[str]) -> DataFrame:

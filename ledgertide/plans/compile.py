@@ -74,7 +74,7 @@ def ingest(incoming: DataFrame, folder: str, buckets: int = BUCKETS) -> int:
     appended by a job that died before it had compiled them, whatever ``incoming`` holds.
     """
     spark, path = incoming.sparkSession, f"{folder}/fills"
-    new = append_new(incoming.withColumn("bucket", bucket(buckets)), path, "fill_key", "id", "bucket")
+    new = append_new(incoming.withColumn("bucket", bucket(buckets)), path, "fill_key", "id", "bucket", ["user", "coin", "side", "bucket"])
     fills = stored(spark, path)
     behind = _behind(fills, compiled_table(spark, folder, "compiled")) if fills is not None else []
     if behind:

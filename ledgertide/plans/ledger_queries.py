@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from ledgertide.functions import keys
 from ledgertide.operators import attribution, equity, positions
 from ledgertide.operators.dedup import new_rows
-from ledgertide.plans import reports
+from ledgertide.plans import api, reports
 from ledgertide.plans.reports import Ledger
 from ledgertide.schema import MONEY, NOTIONAL, TOTAL
 from ledgertide.sources import feeds
-from ledgertide.sources.tables import table
+from ledgertide.sources.tables import table, text_fills
 
 #: The window of the windowed queries: three days of the week, both ends inclusive.
 FROM_MS, TO_MS = 1_704_153_600_000, 1_704_412_800_000
@@ -62,6 +62,19 @@ def trades_builder_only(t: Ledger) -> DataFrame:
     return reports.trades(t, builder_only=True).select("user", "fill_key", "builder", "tainted")
 
 
+@query
+def trades_json(t: Ledger) -> DataFrame:
+    return api.rows_json(reports.trades(t, from_ms=FROM_MS, to_ms=TO_MS), api.TRADE)
+
+
+@query
+def stored_texts(t: Ledger) -> DataFrame:
+    """Fills stored as texts, some of them no numbers and some sides unknown."""
+    spoilt = lambda c, way: F.when(F.pmod("id", F.lit(10)) == way, F.concat(F.lit("?"), F.col(c).cast("string"))).otherwise(F.col(c).cast("string"))
+    rows = t.raw_fills.withColumns({"px": spoilt("px", 1), "fee": spoilt("fee", 2), "builder_fee": spoilt("builder_fee", 3), "side": F.when(F.pmod("id", F.lit(10)) == 4, "SELL").otherwise(F.col("side"))})
+    return text_fills(rows.withColumns({"sz": F.col("sz").cast("string"), "closed_pnl": F.col("closed_pnl").cast("string")})).select("id", "side", "px", "sz", "fee", "closed_pnl", "builder_fee")
+
+
 @query
 def trades_taint(t: Ledger) -> DataFrame:
     """Whether each wallet's listing of attributed fills leaves any out."""
@@ -99,7 +112,7 @@ def day_partition(t: Ledger) -> DataFrame:
 def incremental_append(t: Ledger) -> DataFrame:
     """What the rows that arrived after the middle of the week add to those before."""
     early = F.col("time_ms") < 1_704_326_400_000
-    return new_rows(t.raw_fills.where(~early), t.raw_fills.where(early), "fill_key", "id").select("id", "fill_key")
+    return new_rows(t.raw_fills.where(~early), t.raw_fills.where(early), "fill_key", "id", ["user", "coin", "side"]).select("id", "fill_key")
 
 
 # --- positions
@@ -207,6 +220,14 @@ def leaderboard_pnl(t: Ledger) -> DataFrame:
     return reports.leaderboard(t, "pnl", builder_only=True)
 
 
+@query
+def leaderboard_users(t: Ledger) -> DataFrame:
+    """Of named wallets, one without any fill among them."""
+    named = t.raw_fills.select("user").where(F.sha2("user", 256) < "4").distinct()
+    nobody = t.raw_fills.sparkSession.createDataFrame([("nobody",)], "user string")
+    return reports.leaderboard(t, "pnl", coin="QRO", from_ms=FROM_MS, users=named.unionByName(nobody))
+
+
 @query
 def leaderboard_return_pct(t: Ledger) -> DataFrame:
     return reports.leaderboard(t, "returnPct", from_ms=FROM_MS, to_ms=TO_MS)

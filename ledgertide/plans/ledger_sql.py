@@ -224,6 +224,14 @@ SELECT fill_key, CAST(r.amount AS DECIMAL(38,8)) AS equity FROM f ASOF LEFT JOIN
 SELECT "user", coin, CAST(net AS DECIMAL(18,8)) AS size, {_text("px")} AS entry_px, '20' AS leverage FROM z WHERE r = 1 AND net <> 0""",
 }
 SQL["attribution_window"] = SQL["attribution_auto"] + f" WHERE {_WINDOW}"
+SQL["leaderboard_users"] = _board("pnl", where=f"e.coin = 'QRO' AND time_ms >= {FROM_MS}").replace(
+    """(SELECT DISTINCT "user" FROM raw_fills) u""", """(SELECT "user" FROM raw_fills WHERE sha256("user") < '4' UNION SELECT 'nobody') u"""
+)
+SQL["trades_json"] = f"""WITH {F_}, {A_} SELECT '{{"timeMs":' || time_ms || ',"coin":"' || coin || '","side":"' || side || '","px":"' || {_text("px")} || '","sz":"' || {_text("sz")} || '","fee":"' || {_text("fee")}
+|| '","closedPnl":"' || {_text("closed_pnl")} || '"' || CASE WHEN attributed AND mode = 'logs' AND builder IS NOT NULL THEN ',"builder":"' || builder || '"' ELSE '' END || '}}' AS body
+FROM f JOIN a USING (fill_key) WHERE {_WINDOW}"""
+SQL["stored_texts"] = """SELECT id, CASE WHEN id % 10 = 4 THEN 'buy' ELSE side END AS side, CASE WHEN id % 10 = 1 THEN CAST(0 AS DECIMAL(18,8)) ELSE px END AS px, sz,
+CASE WHEN id % 10 = 2 THEN CAST(0 AS DECIMAL(20,8)) ELSE fee END AS fee, closed_pnl, CASE WHEN id % 10 <> 3 THEN builder_fee END AS builder_fee FROM raw_fills"""
 SQL["json_fills_mixed"] = """SELECT id, "user", coin, time_ms, side, px, sz, fee, closed_pnl, CASE WHEN id % 10 <> 5 THEN builder_fee END AS builder_fee, tid, oid
 FROM raw_fills WHERE id % 10 > 4"""
 SQL["json_deposits_mixed"] = f"""WITH {D_}, k AS (SELECT "user", time_ms, amount, CASE WHEN time_ms % 10 = 9 THEN tx_hash END AS tx_hash FROM d WHERE time_ms % 10 IN (0, 1, 2, 3, 9))

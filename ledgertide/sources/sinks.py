@@ -19,17 +19,18 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def append_new(incoming: DataFrame, path: str, key: str, order: str, partition_by: str | None = None) -> int:
+def append_new(incoming: DataFrame, path: str, key: str, order: str, partition_by: str | None = None, same: list[str] | None = None) -> int:
     """Append the rows whose key isn't stored yet (of several the first) and give their number.
 
     With ``partition_by``, a column that all rows of a key share and that has few values, the table is
-    partitioned by it, and only the partitions that ``incoming`` belongs to are read.
+    partitioned by it, and only the partitions that ``incoming`` belongs to are read. ``same`` as in
+    :func:`~ledgertide.operators.dedup.first_written`.
     """
     before = stored(incoming.sparkSession, path)
     if before is not None and partition_by is not None:
         parts = [r[0] for r in incoming.select(partition_by).distinct().collect()]  # few values
         before = before.where(F.col(partition_by).isin(parts))
-    rows = first_written(incoming, key, order) if before is None else new_rows(incoming, before, key, order)
+    rows = first_written(incoming, key, order, same) if before is None else new_rows(incoming, before, key, order, same)
     rows = rows.persist()
     try:
         count = rows.count()
