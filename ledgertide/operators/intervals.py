@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgertide.operators.sliced import before_here, carried, upto_here, with_slice
+from ledgertide.operators.sliced import SLICE, before_here, carried, earlier_slices, upto_here, with_slice
 from ledgertide.operators.storage import written
 
 #: Width of the slices in which a long history is worked on. After equal starts are merged a slice of six
@@ -44,7 +44,7 @@ def periods_and_gaps(
         F.col(start).cast("long").alias("s"),
         F.coalesce(F.col(end).cast("long"), F.lit(open_end)).alias("e"),
     ).where(F.col("s").isNotNull() & (F.col("e") >= F.col("s")))
-    rows = with_slice(source, ["k"], "s", slab_ms).groupBy("__key", "__slice", "s").agg(F.max("e").alias("e"))
+    rows = with_slice(source, ["k"], "s", slab_ms).groupBy(*SLICE, "s").agg(F.max("e").alias("e"))
 
     rows = carried(rows, {"top": F.max("e")}, {"earlier": F.max("top")})
     reached = F.greatest(F.max("e").over(before_here("s")), "earlier")
@@ -53,11 +53,10 @@ def periods_and_gaps(
     rows = rows.withColumn("label", F.max("opens").over(upto_here("s")))
     # a slice's own periods, and without a label what belongs to the period that reaches into it
     before = F.max(F.when(F.col("opens").isNotNull(), F.col("reached")))
-    parts = written(rows.groupBy("__key", "__slice", "label").agg(F.max("e").alias("till"), before.alias("gap_from")), "periods")
+    parts = written(rows.groupBy(*SLICE, "label").agg(F.max("e").alias("till"), before.alias("gap_from")), "periods")
 
-    earlier = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = parts.groupBy("__key", "__slice").agg(F.max("label").alias("last"), F.max(F.when(F.col("label").isNull(), F.col("till"))).alias("till"))
-    reaching = slices.select("__key", F.max("last").over(earlier).alias("label"), "till", F.lit(None).cast("long").alias("gap_from")).where(F.col("till").isNotNull())
+    slices = parts.groupBy(*SLICE).agg(F.max("label").alias("last"), F.max(F.when(F.col("label").isNull(), F.col("till"))).alias("till"))
+    reaching = slices.select("__key", F.max("last").over(earlier_slices()).alias("label"), "till", F.lit(None).cast("long").alias("gap_from")).where(F.col("till").isNotNull())
     own = parts.where(F.col("label").isNotNull()).select("__key", "label", "till", "gap_from")
     periods = own.unionByName(reaching).groupBy("__key", "label").agg(F.max("till").alias("till"), F.max("gap_from").alias("gap_from"))
     entry = lambda kind, begins, ends: F.struct(F.lit(kind).alias("kind"), F.col(begins).alias("start_ms"), F.col(ends).alias("end_ms"))

@@ -14,15 +14,19 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SLICE_MS = 6 * 3_600_000
+#: An entity's columns, behind their hash, and its slice. Rows are sorted by these: the hash is a number, so that
+#: sorting seldom has to compare the structs.
+ENTITY = ["__hash", "__key"]
+SLICE = [*ENTITY, "__slice"]
 
 
 def with_slice(df: DataFrame, keys: list[str], time: str, width: int = SLICE_MS) -> DataFrame:
-    """``df`` with ``__key`` and ``__slice``, by which :func:`carried` and the windows work."""
-    return df.withColumn("__key", F.struct(*keys)).withColumn("__slice", F.floor(F.col(time) / width))
+    """``df`` with the columns ``SLICE``, by which :func:`carried` and the windows work."""
+    return df.withColumns({"__hash": F.xxhash64(*keys), "__key": F.struct(*keys), "__slice": F.floor(F.col(time) / width)})
 
 
 def in_slice(*order: str) -> WindowSpec:
-    return Window.partitionBy("__key", "__slice").orderBy(*order)
+    return Window.partitionBy(*SLICE).orderBy(*order)
 
 
 def upto_here(*order: str) -> WindowSpec:
@@ -34,6 +38,11 @@ def before_here(*order: str) -> WindowSpec:
     return in_slice(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def earlier_slices() -> WindowSpec:
+    """Over rows that stand for slices, those of the entity's slices before the current one."""
+    return Window.partitionBy(*ENTITY).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def carried(df: DataFrame, fold: dict[str, Column | str], hand_on: dict[str, Column], of: Column | None = None) -> DataFrame:
     """``df`` with what reaches its slice from the entity's earlier slices.
 
@@ -44,11 +53,7 @@ def carried(df: DataFrame, fold: dict[str, Column | str], hand_on: dict[str, Col
     The slices' side has a row per slice, never more than ``df``; its parts are hashed for the join, so
     the rows of ``df`` are neither sorted for it nor, where they are partitioned by entity and slice, moved.
     """
-    earlier = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    if of is None:
-        slices = df.groupBy("__key", "__slice").agg(*[c.alias(n) for n, c in fold.items()])
-    else:
-        slices = df.where(of).select("__key", "__slice", *[F.col(c).alias(n) for n, c in fold.items()])
-    slices = slices.select(F.col("__key").alias("__key2"), F.col("__slice").alias("__slice2"), *[c.over(earlier).alias(n) for n, c in hand_on.items()])
-    same = (df["__key"] == slices["__key2"]) & (df["__slice"] == slices["__slice2"])
-    return df.join(slices.hint("shuffle_hash"), same).drop("__key2", "__slice2")
+    slices = df.groupBy(*SLICE).agg(*[c.alias(n) for n, c in fold.items()]) if of is None else df.where(of).select(*SLICE, *[F.col(c).alias(n) for n, c in fold.items()])
+    slices = slices.select(*[F.col(c).alias(f"{c}2") for c in SLICE], *[c.over(earlier_slices()).alias(n) for n, c in hand_on.items()])
+    same = [df[c] == slices[f"{c}2"] for c in SLICE]
+    return df.join(slices.hint("shuffle_hash"), same).drop(*[f"{c}2" for c in SLICE])
