@@ -51,6 +51,11 @@ class Ledger:
         """Written once: nothing that starts from the fills reads the stored copies or folds them again."""
         return written(self.first_fills(), "fills")
 
+    @cached_property
+    def attributed_fills(self) -> DataFrame:
+        """Written once, for listings that need the attributed fills and whether there are others."""
+        return written(attribution.attach(self.fills, self.stored_attributions), "attributed")
+
     @cached_property
     def attributions(self) -> DataFrame:
         """The stored attribution of each fill, else the one by its fee."""
@@ -81,7 +86,8 @@ class Ledger:
     def deposits(self) -> DataFrame:
         """One row per event; copies may differ in the spelling of the hash, which comes out normalized."""
         hashed = self.raw_deposits.withColumn("tx_hash", tx_hash(F.col("tx_hash")))
-        return hashed.groupBy("event_key").agg(F.min("user").alias("user"), F.min("time_ms").alias("time_ms"), F.min("amount").alias("amount"), F.min("tx_hash").alias("tx_hash"))
+        once = hashed.groupBy("event_key").agg(F.min("user").alias("user"), F.min("time_ms").alias("time_ms"), F.min("amount").alias("amount"), F.min("tx_hash").alias("tx_hash"))
+        return written(once, "deposits")
 
 
 def trades(
@@ -92,11 +98,11 @@ def trades(
     ``builder_only`` keeps the attributed fills and adds ``tainted``: whether the wallet has others in the
     window. Where all are left out see :func:`trades_taint`.
     """
-    rows = _windowed_fills(ledger, user, coin, from_ms, to_ms)
     columns = ["user", "coin", "time_ms", "side", "px", "sz", "fee", "closed_pnl", "builder_fee", "tid", "oid", "fill_key"]
     if not with_builder and not builder_only:
-        return rows.select(*columns)
-    rows = attribution.attach(rows, ledger.stored_attributions)
+        return _windowed(ledger.fills, user, coin, from_ms, to_ms).select(*columns)
+    fills = ledger.attributed_fills if builder_only else attribution.attach(ledger.fills, ledger.stored_attributions)
+    rows = _windowed(fills, user, coin, from_ms, to_ms)
     rows = rows.withColumn("builder", F.when(F.col("attributed") & (F.col("mode") == "logs"), F.col("builder")))
     if not builder_only:
         return rows.select(*columns, "builder")
@@ -104,14 +110,14 @@ def trades(
     return rows.where("attributed").join(others, F.col("user").eqNullSafe(F.col("of_user"))).select(*columns, "builder", "tainted")
 
 
-def _windowed_fills(ledger: Ledger, user: str | None, coin: str | None, from_ms: int | None, to_ms: int | None) -> DataFrame:
+def _windowed(fills: DataFrame, user: str | None, coin: str | None, from_ms: int | None, to_ms: int | None) -> DataFrame:
     lo, hi = params.window(from_ms, to_ms, ordered=False)
-    return narrowed(ledger.fills, params.optional_address(user), params.coin(coin), lo, hi)
+    return narrowed(fills, params.optional_address(user), params.coin(coin), lo, hi)
 
 
 def trades_taint(ledger: Ledger, user: str | None = None, coin: str | None = None, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
     """``(user, tainted)`` of the wallets with fills in the window: whether a listing of the builder's leaves any out."""
-    rows = attribution.attach(_windowed_fills(ledger, user, coin, from_ms, to_ms), ledger.stored_attributions)
+    rows = _windowed(ledger.attributed_fills, user, coin, from_ms, to_ms)
     return rows.groupBy("user").agg(F.bool_or(~F.col("attributed")).alias("tainted"))
 
 
