@@ -125,7 +125,7 @@ def position_net(t: Ledger) -> DataFrame:
 
 @query
 def position_transitions(t: Ledger) -> DataFrame:
-    return positions.transitions(t.fills).select("fill_key", "kind", "opener", "closer")
+    return t.moves_once().select("fill_key", "kind", "opener", "closer")
 
 
 @query
@@ -135,18 +135,18 @@ def transition_counts(t: Ledger) -> DataFrame:
 
 @query
 def lifecycles(t: Ledger) -> DataFrame:
-    return positions.lifecycles(t.moves)
+    return positions.lifecycles(t.moves_once())
 
 
 @query
 def effects_flip_split(t: Ledger) -> DataFrame:
-    return t.effects.select("fill_key", "effect_type", "lifecycle_id", "qty", F.col("notional").cast(NOTIONAL).alias("notional"), "fee", "closed_pnl")
+    return positions.effects(t.moves_once()).select("fill_key", "effect_type", "lifecycle_id", "qty", F.col("notional").cast(NOTIONAL).alias("notional"), "fee", "closed_pnl")
 
 
 @query
 def snapshots_avg_entry(t: Ledger) -> DataFrame:
     """The average is cut to six digits, a little off the half, so that no price with few digits lies on an edge."""
-    rows = positions.snapshots(t.moves)
+    rows = positions.snapshots(t.moves_once())
     cut = F.floor((F.col("avg_entry_px") + F.lit(Decimal("0.000000318309"))) * 1_000_000).cast("decimal(28,0)") * F.lit(Decimal("0.000001"))
     return rows.select("user", "coin", "time_ms", "seq", F.col("net_size").cast(TOTAL).alias("net_size"), cut.cast("decimal(28,6)").alias("avg_entry_px"), "lifecycle_id", "fill_key")
 
@@ -313,7 +313,7 @@ def earliest_deposit(t: Ledger) -> DataFrame:
 
 @query
 def equity_derived(t: Ledger) -> DataFrame:
-    return equity.derived(t.deposits, t.effects, FROM_MS)
+    return equity.derived(t.deposits, positions.effects(t.moves_once()), FROM_MS)
 
 
 def _readings(t: Ledger, early: bool = False) -> DataFrame:

@@ -73,6 +73,10 @@ class Ledger:
         """Written once: effects, taints, equity and snapshots all start from it, without a shuffle."""
         return written(positions.transitions(self.fills), "moves")
 
+    def moves_once(self) -> DataFrame:
+        """The moves for a single use: read if they are written, else not written for it."""
+        return self.moves if "moves" in self.__dict__ else positions.transitions(self.fills)
+
     @cached_property
     def effects(self) -> DataFrame:
         return positions.effects(self.moves)
